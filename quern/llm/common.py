@@ -51,3 +51,21 @@ def free_name(df: DataFrame, name: str) -> str:
     while name.lower() in taken:
         name = f"_{name}"
     return name
+
+
+def utf8_buffers(column):
+    """(bytes, starts, ends) of an Arrow string column as numpy arrays without copying; a null is empty."""
+    import numpy as np
+    import pyarrow as pa
+
+    if not len(column):
+        return np.zeros(0, np.uint8), np.zeros(0, np.int64), np.zeros(0, np.int64)
+    wide = pa.types.is_large_string(column.type) or pa.types.is_large_binary(column.type)
+    _, offsets, data = column.buffers()
+    at = np.frombuffer(offsets, dtype=np.int64 if wide else np.int32)[column.offset : column.offset + len(column) + 1].astype(np.int64)
+    raw = np.frombuffer(data, dtype=np.uint8) if data is not None and data.size else np.zeros(0, np.uint8)
+    starts, ends = at[:-1], at[1:].copy()
+    if column.null_count:
+        none = column.is_null().to_numpy(zero_copy_only=False)
+        ends[none] = starts[none]
+    return raw, starts, ends

@@ -5,8 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import host_quality, sharding, simhash_dedup, source_mixing
-from .common import table
+from . import best_fit_packing, embedding_dedup, host_quality, license_scan, secret_scan, sharding, simhash_dedup, source_mixing, suffix_dedup, warc
+from .common import fresh_path, table
+
+#: Vocabulary of the packing query.
+TOKENIZER = "byte_bpe_50k.json"
+
+
+def op1_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.near_duplicates(table(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label"))
 
 
 def op2_host_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -14,20 +21,51 @@ def op2_host_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "host_failed")
 
 
+def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = license_scan.scan_licenses(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    best = F.get("matches", 0)
+    return out.select("doc_id", best["license"].alias("license"), best["dice"].alias("dice"), F.size("matches").cast("long").alias("n_licenses"), F.array_join(F.transform("matches", lambda m: m["license"]), ",").alias("licenses"))
+
+
 def op4_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = simhash_dedup.simhash_components(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return best_fit_packing.pack(docs, public_tokenizers.path(TOKENIZER), public_tokenizers.PATTERN)
+
+
+def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = fresh_path(spark, "archives")
+    warc.write_archives(table(spark, sf_dir, "pages").select("page_id", "url", "html"), path)
+    return warc.page_records(warc.read_archives(spark, path))
+
+
 def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = sharding.shard(table(spark, sf_dir, "documents").select("doc_id", "text"), 8)
     return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.dedup_substrings(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("removed")
+
+
 def op9_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return source_mixing.mix(table(spark, sf_dir, "documents").select("doc_id", "text", "source")).drop("_row")
 
 
+def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = secret_scan.scan_secrets(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    count = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    joined = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+    base = F.filter("spans", lambda s: s["kind"].isin(secret_scan.BASE))
+    return out.select("doc_id", *map(count, secret_scan.BASE), F.sha2(joined(base), 256).alias("base_sha256"), joined("spans").alias("spans"))
+
+
 WORDS_SQL = r"list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '')"
 
 
@@ -84,7 +122,10 @@ def _op9_sql() -> str:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op2_host_quality, op4_simhash_dedup, op7_sharding, op9_source_mixing)}
+    return {f.__name__: f for f in (
+        op1_embedding_dedup, op2_host_quality, op3_license_scan, op4_simhash_dedup, op5_best_fit_packing,
+        op6_warc, op7_sharding, op8_suffix_dedup, op9_source_mixing, op10_secret_scan,
+    )}
 
 
 def oracle_sql() -> dict[str, str]:
