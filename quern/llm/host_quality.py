@@ -8,7 +8,7 @@ whole host fails. A clean document is never rejected for its neighbours.
 
 Edge cases: a null text has no words and fails the base rule; a null source is
 a host of its own; repeated rows are judged alike and each counts; an empty
-table gives an empty result; other columns of the input pass through unread.
+table gives an empty result; other columns, whatever their names, stay in the row.
 """
 
 from __future__ import annotations
@@ -96,18 +96,21 @@ def host_verdicts(flags: DataFrame, host_col: str) -> DataFrame:
     return hosts.select(host_col, "n_docs", *bad)
 
 
-def judge_documents(docs: DataFrame, text_col: str = "text", host_col: str = "source") -> DataFrame:
-    """The input's columns without its text, plus the statistics, base_failed, host_failed and kept.
+STATS = ("n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words", "base_failed", *(f"fail_{r}" for r in RULES))
 
-    The statistics are written once; texts are read once and never shuffled.
+
+def judge_documents(docs: DataFrame, text_col: str = "text", host_col: str = "source", row_col: str = "document") -> DataFrame:
+    """Adds to each row, kept whole in the struct `row_col`: the statistics, base_failed, fail_<rule>, host_failed and kept.
+
+    Rows and statistics are written once, so texts are read once and shuffled
+    only if the table of hosts is too large to be broadcast by its size.
     """
-    host = free_name(docs, "_host")
-    keyed = docs.withColumn(host, F.coalesce(F.concat(F.lit("="), F.col(f"`{host_col}`").cast("string")), F.lit("-")))
-    flags = document_flags(text_stats(keyed, text_col))
-    flags = materialize(flags.drop(text_col), "flags")
-    hosts = host_verdicts(flags, host)
-    joined = flags.join(hosts.drop("n_docs"), host)
+    host = F.coalesce(F.concat(F.lit("="), F.col(f"`{host_col}`").cast("string")), F.lit("-"))
+    carried = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row"), F.col(f"`{text_col}`").alias("_body"), host.alias("_host"))
+    flags = materialize(document_flags(text_stats(carried, "_body")).drop("_body"), "flags")
+    hosts = host_verdicts(flags, "_host").drop("n_docs")
     failed = F.lit(False)
     for r in RULES:
         failed = failed | (F.col(f"fail_{r}") & F.col(f"bad_{r}"))
-    return joined.withColumn("host_failed", failed).withColumn("kept", ~F.col("base_failed") & ~F.col("host_failed")).drop(host, *(f"bad_{r}" for r in RULES))
+    judged = flags.join(hosts, "_host").withColumn("host_failed", failed)
+    return judged.select(F.col("_row").alias(row_col), *STATS, "host_failed", (~F.col("base_failed") & ~F.col("host_failed")).alias("kept"))

@@ -18,7 +18,7 @@ def op1_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_host_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = host_quality.judge_documents(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
-    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "host_failed")
+    return out.select("document.doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "host_failed")
 
 
 def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
