@@ -58,12 +58,12 @@ def _resolve(data: bytes, hits: list[tuple[int, int]]) -> list[tuple[int, int, i
         for r, (pattern, group, least) in enumerate(exact):
             if not mask >> r & 1 or end < done[r]:
                 continue
-            m = pattern.search(data, max(data.rfind(b"\n", 0, end) + 1, done[r]))
-            if m is None or m.start() > end:
-                continue
-            done[r] = m.end()
-            if m.end(group) - m.start(group) >= least:
-                spans.append((m.start(), r, m.end()))
+            for m in pattern.finditer(data, max(data.rfind(b"\n", 0, end) + 1, done[r])):
+                if m.start() > end:
+                    break
+                done[r] = m.end()
+                if m.end(group) - m.start(group) >= least:
+                    spans.append((m.start(), r, m.end()))
     return sorted(spans)
 
 
