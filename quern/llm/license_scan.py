@@ -76,7 +76,7 @@ def best_template(words: list[str], least: float = DICE) -> tuple[float, str] |
     sizes, templates = _by_size()
     n = len(words) - 1
     ratio = least / (2 - least)
-    low, high = bisect_left(sizes, ratio * n), bisect_right(sizes, n / ratio)
+    low, high = bisect_left(sizes, ratio * n - 1e-9), bisect_right(sizes, n / ratio + 1e-9)
     if n < 1 or low >= high:
         return None
     own, best = bigrams(words), None
