@@ -41,7 +41,7 @@ SAMPLE = 20000
 #: Share of pairs at the threshold that one direction of the search has to find.
 RECALL = 0.98
 #: Members per grid cell that the codebook size aims at, and its limits.
-PER_CELL, FEWEST, MOST = 64, 4, 256
+PER_CELL, FEWEST, MOST = 64, 4, 1024
 #: Rows of a block in a unit.
 BLOCK = 1024
 
