@@ -121,6 +121,30 @@ def _op9_sql() -> str:
     """
 
 
+def _op1_sql() -> str:
+    return f"""
+    with recursive d as (select mode(len(embedding)) as n from embeddings where embedding is not null),
+    v as (select vec_id, label, embedding::double[] as e from embeddings, d
+          where label is not null and len(embedding) = n and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0 and list_sum(list_transform(embedding, lambda x: abs(x))) > 0),
+    p as materialized (select a.vec_id as a, b.vec_id as b from v a join v b on a.label = b.label and a.vec_id <> b.vec_id and list_cosine_similarity(a.e, b.e) >= {embedding_dedup.THRESHOLD}),
+    r(vec_id, root) as (select distinct a, a from p union select p.b, r.root from r join p on p.a = r.vec_id),
+    c as (select vec_id, min(root) as root from r group by vec_id),
+    l as (select a, count(*) as n from p group by a)
+    select e.vec_id, coalesce(n, 0) as n_links, coalesce(root, e.vec_id) as component_id, coalesce(root, e.vec_id) = e.vec_id as kept
+    from embeddings e left join c on c.vec_id = e.vec_id left join l on l.a = e.vec_id
+    """
+
+
+def _op6_sql() -> str:
+    return f"""
+    with p as (select page_id, strlen(coalesce(html, '')) as n, sha256(coalesce(html, '')) as h from pages),
+    f as (select *, case when n >= {warc.REVISIT_FROM} then min(page_id) over (partition by h) end as first_ from p)
+    select page_id, n as payload_bytes, h as payload_digest, case when page_id <> first_ then 'revisit' else 'response' end as record_type,
+           case when page_id <> first_ then first_ end as refers_to
+    from f
+    """
+
+
 def queries() -> dict:
     return {f.__name__: f for f in (
         op1_embedding_dedup, op2_host_quality, op3_license_scan, op4_simhash_dedup, op5_best_fit_packing,
@@ -129,4 +153,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_host_quality": _op2_sql(), "op9_source_mixing": _op9_sql()}
+    return {"op1_embedding_dedup": _op1_sql(), "op2_host_quality": _op2_sql(), "op6_warc": _op6_sql(), "op9_source_mixing": _op9_sql()}
