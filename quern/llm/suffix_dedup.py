@@ -1,12 +1,14 @@
 """Suffix dedup: bytes covered by an earlier equal 100-byte string, by column-wise construction.
 
+0. Whole texts that equal an earlier one are removed at once: all their windows
+   occur there. Only first texts go on.
 1. Anchors. In every window of LENGTH bytes the GRAM-byte string of least hash
    is an anchor (winnowing). Equal windows have the same anchors at the same
    offsets, so every repeated window lies around an anchor whose hash occurs
    more than once.
 2. Segments. Around such an anchor up to LENGTH - GRAM bytes on both sides are
    cut from the text. Equal segments of a hash become one class with its first
-   place, before any shuffle of the group.
+   place, within a task before the shuffle and across tasks after it.
 3. Column-wise construction. The classes of a hash, aligned at the anchor, are
    a collection of strings. One symbol per string is inserted each round, from
    the last column to the first: the order of the suffixes that start there (the
@@ -18,8 +20,10 @@ The collection is rebuilt per hash group instead of over whole documents: a
 round per byte of the longest document would be 10**5 passes over all data,
 and anchors bound the rounds by the segment length. The sequential files of the
 method are Spark's sorted shuffle files; a task holds a bounded number of
-whole groups. A hash with more than CROWD occurrences is not a group: its
-windows are classes by themselves, counted by map-side sums.
+whole groups. A hash with more than CROWD occurrences is dealt out finer: its
+windows go in blocks of neighbouring starts, by the bytes that all windows of a
+block have in common. From MOB times CROWD occurrences on, each window goes by
+itself, and equal windows are one class without a group.
 
 Order: smaller doc_id first, then earlier start. Edge cases: a null text is
 empty; a null doc_id comes before all others; rows with the same doc_id and
@@ -33,6 +37,8 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -40,10 +46,12 @@ from .common import utf8_buffers
 
 LENGTH = 100
 GRAM = 32
-#: Occurrences of a hash from which its windows are counted one by one.
-CROWD = 20000
+#: Occurrences of a hash from which its windows go in blocks of BLOCK starts, and times that from which they go one by one.
+CROWD, MOB, BLOCK = 20000, 10, 17
 #: Bytes that are hashed at a time.
 CHUNK = 1 << 18
+#: Classes that a task holds before it hands them on.
+HELD = 20000
 #: Segments that a task builds columns for at a time, whole groups.
 BUNDLE = 30000
 _BASE = 0x9E3779B97F4A7C15
@@ -52,12 +60,16 @@ _TABLE = np.random.default_rng(11).integers(1, 1 << 63, 256, dtype=np.uint64)
 
 
 def gram_hashes(raw: np.ndarray, gram: int) -> np.ndarray:
-    """A 64-bit hash of each `gram`-byte string, by doubling; gram is a power of two."""
-    h, base, width = _TABLE[raw], _BASE, 1
-    while width < gram:
-        h = h[:-width] * np.uint64(base) + h[width:]
+    """A 64-bit hash of each `gram`-byte string, put together from those of the powers of two in gram."""
+    part, base, width, out, done = _TABLE[raw], _BASE, 1, None, 0
+    while True:
+        if gram & width:
+            out = part if out is None else part[: len(part) - done] * np.uint64(pow(_BASE, done, 1 << 64)) + out[width:]
+            done += width
+        if width * 2 > gram:
+            return out ^ (out >> np.uint64(31))
+        part = part[:-width] * np.uint64(base) + part[width:]
         base, width = base * base & (1 << 64) - 1, width * 2
-    return h ^ (h >> np.uint64(31))
 
 
 def _sliding(x: np.ndarray, width: int, pick) -> np.ndarray:
@@ -113,38 +125,83 @@ def _anchors(batches, with_place: bool, length: int, gram: int):
                 continue
             row = np.searchsorted(starts[i:j], at, side="right") - 1 + i
             # Empty texts share a start with the next one; the last of them holds the bytes.
-            columns = [h.view(np.int64), ids[row], marks[row], (at - starts[row]).astype(np.int32)]
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["hash", "id", "mark", "pos"])
+            columns = [h.view(np.int64), ids[row], marks[row].astype(np.int64) << 32 | (at - starts[row])]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["hash", "id", "place"])
 
 
-def _segments(batches, length: int, gram: int, crowd: int):
-    """Segments of the anchors of each document; of crowded hashes, its single windows."""
-    side = length - gram
-    names = ["hash", "off", "segment", "id", "mark", "pos"]
-    types = [pa.int64(), pa.int32(), pa.binary(), pa.int64(), pa.int64(), pa.int32()]
+# How an anchor's windows are dealt out: all in one segment, in blocks, one by one. A class is named by WHOLE,
+# FIRST_BLOCK + block, or the window's last byte counted from the anchor.
+WHOLE, BLOCKS, SINGLE = 0, 1, 2
+FIRST_BLOCK = 1 << 16
+
+
+def _lists(column) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Row ends, positions and ways of dealing of a column of lists of packed longs; a null is empty."""
+    sizes = np.zeros(len(column) + 1, np.int64)
+    sizes[1:] = pc.fill_null(pc.list_value_length(column), 0).to_numpy(zero_copy_only=False)
+    packed = column.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+    return np.cumsum(sizes), packed & 0xFFFFFFFF, packed >> 32
+
+
+def _blocks(pos: int, n: int, length: int, gram: int):
+    """(block, first start, last start) of the windows around an anchor, by blocks of BLOCK starts."""
+    left = pos - (length - gram)
+    for k in range((length - gram) // BLOCK + 1):
+        s0, s1 = max(left + k * BLOCK, 0), min(left + k * BLOCK + BLOCK - 1, pos, n - length)
+        if s0 <= s1:
+            yield k, s0, s1
 
-    def table(rows):
+
+def _deal(*parts) -> int:
+    """Signed 64-bit key, the same in every process."""
+    digest = xxhash.xxh64()
+    for x in parts:
+        digest.update(x if isinstance(x, bytes) else x.to_bytes(8, "little", signed=True))
+    return int.from_bytes(digest.digest(), "little", signed=True)
+
+
+def _pieces(data: bytes, pos: int, h: int, way: int, length: int, gram: int):
+    """(deal, offset from the anchor, way, bytes) of the strings that an anchor's windows lie in."""
+    side = length - gram
+    if way == WHOLE:
+        first = max(pos - side, 0)
+        yield h, first - pos, way, data[first : pos + length]
+    elif way == BLOCKS:
+        for k, s0, s1 in _blocks(pos, len(data), length, gram):
+            left = pos - side + k * BLOCK
+            yield _deal(h, k, data[left + BLOCK - 1 : left + length]), s0 - pos, way, data[s0 : s1 + length]
+    else:
+        for s in range(max(pos - side, 0), min(pos, len(data) - length) + 1):
+            yield _deal(h, s - pos, data[s : s + length]), s - pos, way, data[s : s + length]
+
+
+def _segments(batches, length: int, gram: int):
+    """Strings around the anchors of each document. Equal ones of a task are one row, with its first place."""
+    names = ["deal", "off", "way", "segment", "id", "mark", "pos"]
+    types = [pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.int64(), pa.int32(), pa.int32()]
+
+    def table(held):
+        rows = [(*key, *place) for key, place in held.items()]
         return pa.RecordBatch.from_arrays([pa.array(c, type=t) for c, t in zip(zip(*rows), types)], names=names)
 
+    held: dict[tuple, tuple] = {}
     for b in batches:
-        rows = []
-        for i in range(b.num_rows):
-            places = b.column(3)[i].as_py()
-            if not places:
-                continue
-            data, doc, mark = b.column(2)[i].as_py().encode(), b.column(0)[i].as_py(), b.column(1)[i].as_py()
-            for p in places:
-                pos, h, n = p["pos"], p["hash"], p["n"]
-                first, last = max(pos - side, 0), min(pos + length, len(data))
-                if n <= crowd:
-                    rows.append((h, first - pos, data[first:last], doc, mark, pos))
-                else:
-                    rows += [(h, s - pos + length, data[s : s + length], doc, mark, pos) for s in range(first, last - length + 1)]
-            if len(rows) > 5000:
-                yield table(rows)
-                rows = []
-        if rows:
-            yield table(rows)
+        ends, where, ways = _lists(b.column(3))
+        raw, starts, stops = utf8_buffers(b.column(2))
+        for i in np.nonzero(np.diff(ends))[0]:
+            text, doc, mark = raw[starts[i] : stops[i]], b.column(0)[i].as_py(), b.column(1)[i].as_py()
+            data, mine = text.tobytes(), slice(int(ends[i]), int(ends[i + 1]))
+            hashes = gram_hashes(text, gram)[where[mine]].view(np.int64).tolist()
+            for pos, h, way in zip(where[mine].tolist(), hashes, ways[mine].tolist()):
+                for key in _pieces(data, pos, h, way, length, gram):
+                    old = held.get(key)
+                    if old is None or (doc, pos, mark) < (old[0], old[2], old[1]):
+                        held[key] = (doc, mark, pos)
+            if len(held) >= HELD:
+                yield table(held)
+                held = {}
+    if held:
+        yield table(held)
 
 
 def repeated_windows(group: np.ndarray, symbols: np.ndarray, low: np.ndarray, high: np.ndarray, rank: np.ndarray, length: int) -> np.ndarray:
@@ -160,7 +217,7 @@ def repeated_windows(group: np.ndarray, symbols: np.ndarray, low: np.ndarray, hi
     by_column = np.ascontiguousarray(symbols.T)
     for c in range(columns - 1, -1, -1):
         key = group[order] * 256 + by_column[c][order]
-        moved = np.argsort(key, kind="stable")
+        moved = np.argsort(key, kind="stable") if (key[1:] < key[:-1]).any() else np.arange(n)
         same = key[moved[1:]] == key[moved[:-1]]
         updated = np.zeros(n, np.int64)
         lo, hi = moved[:-1][same] + 1, moved[1:][same] + 1
@@ -183,13 +240,16 @@ def repeated_windows(group: np.ndarray, symbols: np.ndarray, low: np.ndarray, hi
 
 
 def _columns(batches, length: int, gram: int):
-    """Bit masks of repeated windows per class; rows come sorted by hash."""
+    """Bit masks of repeated windows per class, null where there are none; rows (deal, off, way, segment, id, mark, pos) come sorted by deal.
+
+    Single windows are classes by themselves and pass.
+    """
     side, width = length - gram, 2 * length - gram
 
     def build(rows):
-        hashes, offs, segments, ids, marks, places = rows
-        n = len(hashes)
-        group = np.concatenate([[0], np.cumsum(hashes[1:] != hashes[:-1])])
+        deals, offs, ways, segments, ids, marks, places = rows
+        n = len(deals)
+        group = np.concatenate([[0], np.cumsum(deals[1:] != deals[:-1])])
         symbols, low, high = np.zeros((n, width), np.uint8), side + offs, np.zeros(n, np.int64)
         for r, s in enumerate(segments):
             high[r] = low[r] + len(s)
@@ -200,68 +260,75 @@ def _columns(batches, length: int, gram: int):
         rank = np.empty(n, np.int64)
         rank[by] = np.concatenate([[0], np.cumsum(step)])
         found = repeated_windows(group, symbols, low, high, rank, length)
-        masks = np.packbits(found, axis=1)
-        return pa.RecordBatch.from_arrays(
-            [pa.array(ids), pa.array(marks), pa.array(places.astype(np.int32)), pa.array(np.full(n, -1, np.int32)), pa.array([m.tobytes() for m in masks], type=pa.binary())],
-            names=["id", "mark", "pos", "off", "mask"],
-        )
+        masks = [m.tobytes() if some else None for m, some in zip(np.packbits(found, axis=1), found.any(axis=1).tolist())]
+        return out(ids, marks, np.where(ways == BLOCKS, FIRST_BLOCK + low // BLOCK, WHOLE) << 32 | places, masks)
+
+    def out(ids, marks, places, masks):
+        return pa.RecordBatch.from_arrays([pa.array(ids), pa.array(marks.astype(np.int32)), pa.array(places.astype(np.int64)), pa.array(masks, type=pa.binary())], names=["id", "mark", "place", "mask"])
 
     def rows_of(held):
-        cols = [np.concatenate([h[i] for h in held]) for i in (0, 1, 3, 4, 5)]
-        return [cols[0], cols[1].astype(np.int64), [s for h in held for s in h[2]], cols[2], cols[3], cols[4].astype(np.int64)]
+        return [[x for h in held for x in h[3]] if k == 3 else np.concatenate([h[k] for h in held]) for k in range(7)]
 
     held, count = [], 0
     for b in batches:
-        if not b.num_rows:
+        now = [b.column(k).to_pylist() if k == 3 else b.column(k).to_numpy().astype(np.int64) for k in range(7)]
+        alone = now[2] == SINGLE
+        if alone.any():
+            yield out(now[4][alone], now[5][alone], now[1][alone] + length << 32 | now[6][alone], [None] * int(alone.sum()))
+            rest = np.nonzero(~alone)[0]
+            now = [[x[r] for r in rest] if k == 3 else x[rest] for k, x in enumerate(now)]
+        if not len(now[0]):
             continue
-        now = [b.column(0).to_numpy(), b.column(1).to_numpy(), b.column(2).to_pylist(), *(b.column(i).to_numpy() for i in (3, 4, 5))]
         held.append(now)
-        count += b.num_rows
+        count += len(now[0])
         if count < BUNDLE or held[0][0][0] == now[0][-1]:
             continue
         rows = rows_of(held)
         cut = int(np.searchsorted(rows[0], rows[0][-1], side="left"))
         yield build([x[:cut] for x in rows])
-        hashes, offs, segments, ids, marks, places = [x[cut:] for x in rows]
-        held, count = [[hashes, offs, segments, ids, marks, places]], len(hashes)
+        held, count = [[x[cut:] for x in rows]], len(rows[0]) - cut
     if held:
         yield build(rows_of(held))
 
 
-def _spans(n: int, cands: list, firsts: list, length: int, gram: int, crowd: int) -> np.ndarray:
-    """Removed bytes of a document as a mask."""
+def _spans(n: int, pos: np.ndarray, ways: np.ndarray, firsts: list, length: int, gram: int) -> np.ndarray:
+    """Removed bytes of a document as a mask. firsts: (class name << 32 | position, mask) of the classes that start here."""
     gone, side = np.zeros(n + 1, np.int32), length - gram
-    masks = {f["pos"]: f["mask"] for f in firsts if f["off"] < 0}
-    own = {(f["pos"], f["off"]) for f in firsts if f["off"] >= 0}
-    for p in cands:
-        pos = p["pos"]
-        first, last = max(pos - side, 0), min(pos + length, n)
-        if p["n"] > crowd:
-            windows = [s for s in range(first, last - length + 1) if (pos, s - pos + length) not in own]
-        elif pos in masks:
-            windows = (np.nonzero(np.unpackbits(np.frombuffer(masks[pos], np.uint8)))[0] + pos - side).tolist()
-        elif last - first >= length:
-            gone[first] += 1
-            gone[last] -= 1
-            continue
-        else:
-            windows = []
-        for s in windows:
-            gone[s] += 1
-            gone[s + length] -= 1
+    bits = lambda m: np.nonzero(np.unpackbits(np.frombuffer(m or b"", np.uint8)))[0]
+    own = {(f["place"] & 0xFFFFFFFF, f["place"] >> 32): f["mask"] for f in firsts}
+    first, last = np.maximum(pos - side, 0), np.minimum(pos + length, n)
+    mine = [p for p, name in own if name == WHOLE]
+    whole = (ways == WHOLE) & ~np.isin(pos, mine) & (last - first >= length)
+    np.add.at(gone, first[whole], 1)
+    np.subtract.at(gone, last[whole], 1)
+    windows = [bits(own[p, WHOLE]) + p - side for p in mine]
+    for p, way in zip(pos[ways != WHOLE].tolist(), ways[ways != WHOLE].tolist()):
+        for k, s0, s1 in _blocks(p, n, length, gram):
+            if way == SINGLE:
+                windows.append(np.array([s for s in range(s0, s1 + 1) if (p, s - p + length) not in own], np.int64))
+            elif (p, FIRST_BLOCK + k) in own:
+                windows.append(bits(own[p, FIRST_BLOCK + k]) + p - side)
+            else:
+                windows.append(np.arange(s0, s1 + 1))
+    if windows:
+        at = np.concatenate(windows).astype(np.int64)
+        np.add.at(gone, at, 1)
+        np.subtract.at(gone, at + length, 1)
     return np.cumsum(gone[:n]) > 0
 
 
-def _finish(batches, length: int, gram: int, crowd: int):
+def _finish(batches, length: int, gram: int):
     names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "removed"]
     types = [pa.int64()] * 4 + [pa.string(), pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))]
     for b in batches:
         rows = []
+        ends, pos, ways = _lists(b.column(3))
         for i in range(b.num_rows):
-            doc, data, cands, firsts = b.column(0)[i].as_py(), b.column(2)[i].as_py().encode(), b.column(3)[i].as_py(), b.column(4)[i].as_py()
-            spans = []
-            if cands:
-                gone = _spans(len(data), cands, firsts or [], length, gram, crowd)
+            doc, data, copy = b.column(0)[i].as_py(), b.column(2)[i].as_py().encode(), b.column(5)[i].as_py()
+            spans = [(0, len(data))] if copy and len(data) >= length else []
+            if ends[i] < ends[i + 1]:
+                mine = slice(int(ends[i]), int(ends[i + 1]))
+                gone = _spans(len(data), pos[mine], ways[mine], b.column(4)[i].as_py() or [], length, gram)
                 edges = np.flatnonzero(np.diff(np.concatenate([[0], gone.astype(np.int8), [0]])))
                 spans = list(zip(edges[::2].tolist(), edges[1::2].tolist()))
             at, kept = 0, []
@@ -276,21 +343,31 @@ def _finish(batches, length: int, gram: int, crowd: int):
 def dedup_substrings(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", length: int = LENGTH, gram: int = GRAM, crowd: int = CROWD) -> DataFrame:
     """Rows (doc_id, n_bytes, n_removed, n_spans, kept_sha256, removed), one per row of the input; doc_id is an integer.
 
-    Texts are shuffled once: both joins by document read the same exchange.
+    Texts are shuffled once: all steps read the same exchange.
     """
+    key = ["id", "mark"]
     text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
-    texts = docs.select(text.alias("text"), F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(_NO_ID)).alias("id"), F.xxhash64(text).alias("mark"))
-    counts = texts.select("text").mapInArrow(lambda bs: _anchors(bs, False, length, gram), "hash long").groupBy("hash").agg(F.count("*").alias("n")).where("n > 1")
-    places = texts.mapInArrow(lambda bs: _anchors(bs, True, length, gram), "hash long, id long, mark long, pos int")
-    cands = places.join(counts.hint("shuffle_hash"), "hash").groupBy("id", "mark").agg(F.collect_list(F.struct("pos", "hash", F.col("n").cast("int").alias("n"))).alias("places"))
-    with_places = texts.select("id", "mark", "text").join(cands, ["id", "mark"], "left")
-    segments = with_places.mapInArrow(lambda bs: _segments(bs, length, gram, crowd), "hash long, off int, segment binary, id long, mark long, pos int")
-    classes = segments.groupBy("hash", "off", "segment").agg(F.min(F.struct("id", "pos", "mark")).alias("first"))
-    classes = classes.select("hash", "off", "segment", "first.id", "first.mark", "first.pos")
-    # Windows of crowded hashes have positive offsets, segments have none.
-    alone = classes.where("off > 0").select("id", "mark", "pos", "off", F.lit(None).cast("binary").alias("mask"))
-    built = classes.where("off <= 0").repartition("hash").sortWithinPartitions("hash")
-    built = built.mapInArrow(lambda bs: _columns(bs, length, gram), "id long, mark long, pos int, off int, mask binary")
-    firsts = alone.unionAll(built).groupBy("id", "mark").agg(F.collect_list(F.struct("pos", "off", "mask")).alias("firsts"))
-    whole = with_places.join(firsts, ["id", "mark"], "left").select("id", "mark", "text", "places", "firsts")
-    return whole.mapInArrow(lambda bs: _finish(bs, length, gram, crowd), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, removed array<struct<start long, end long>>")
+    rows = docs.select(text.alias("text"), F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(_NO_ID)).alias("id"))
+    # The mark tells apart the rows of a repeated id.
+    rows = rows.withColumn("mark", F.pmod(F.xxhash64("text"), F.lit(1 << 16)).cast("int"))
+    digests = rows.select(*key, F.unhex(F.sha2("text", 256)).alias("digest"))
+    earliest = digests.groupBy("digest").agg(F.min("id").alias("first"), F.count("*").alias("n")).where("n > 1").select("digest", "first")
+    later = digests.join(earliest, "digest").where("id > first").select(*key, F.lit(True).alias("copy")).distinct()
+    texts = rows.select(*key, "text").join(later.hint("shuffle_hash"), key, "left")
+    own = texts.where("copy is null").select("text", *key)
+    counts = own.mapInArrow(lambda bs: _anchors(bs, False, length, gram), "hash long").groupBy("hash").agg(F.count("*").alias("n")).where("n > 1")
+    places = own.mapInArrow(lambda bs: _anchors(bs, True, length, gram), "hash long, id long, place long")
+    way = F.when(F.col("n") > MOB * crowd, F.lit(SINGLE << 32)).when(F.col("n") > crowd, F.lit(BLOCKS << 32)).otherwise(F.lit(WHOLE))
+    packed = way + F.col("place").bitwiseAND(F.lit(0xFFFFFFFF))
+    found = places.join(counts.hint("shuffle_hash"), "hash").select("id", F.shiftright("place", 32).cast("int").alias("mark"), packed.alias("place"))
+    cands = found.groupBy(*key).agg(F.collect_list("place").alias("places"))
+    with_places = texts.join(cands.hint("shuffle_hash"), key, "left").select(*key, "text", "places", "copy")
+    segments = with_places.select(*key, "text", "places").mapInArrow(
+        lambda bs: _segments(bs, length, gram), "deal long, off int, way int, segment binary, id long, mark int, pos int"
+    )
+    classes = segments.repartition("deal").groupBy("deal", "off", "way", "segment").agg(F.min(F.struct("id", "pos", "mark")).alias("first"))
+    classes = classes.select("deal", "off", "way", "segment", "first.id", "first.mark", "first.pos").sortWithinPartitions("deal")
+    built = classes.mapInArrow(lambda bs: _columns(bs, length, gram), "id long, mark int, place long, mask binary")
+    firsts = built.groupBy(*key).agg(F.collect_list(F.struct("place", "mask")).alias("firsts"))
+    whole = with_places.join(firsts.hint("shuffle_hash"), key, "left").select(*key, "text", "places", "firsts", "copy")
+    return whole.mapInArrow(lambda bs: _finish(bs, length, gram), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, removed array<struct<start long, end long>>")

@@ -49,8 +49,10 @@ def texts(seed, n, alphabet, passages):
     return rows
 
 
-@pytest.mark.parametrize("seed,alphabet,crowd", [(1, "abcdefgh ", 20000), (2, "ab", 20000), (3, "abcdefghijk\n ", 3), (4, "ab", 2)])
-def test_equals_brute_force(spark, seed, alphabet, crowd):
+@pytest.mark.parametrize("seed,alphabet,crowd,mob", [(1, "abcdefgh ", 20000, 10), (2, "ab", 20000, 10), (3, "abcdefghijk\n ", 3, 1000), (4, "ab", 2, 1000), (5, "abcdefgh ", 2, 1), (6, "ab", 2, 4)])
+def test_equals_brute_force(spark, monkeypatch, seed, alphabet, crowd, mob):
+    """All ways of dealing windows out: whole segments, blocks, single windows, and mixtures."""
+    monkeypatch.setattr(S, "MOB", mob)
     rows = texts(seed, 40, alphabet, 4)
     random.Random(0).shuffle(rows)
     df = spark.createDataFrame([(d, t, "other") for d, t in rows], TYPES).repartition(5)
