@@ -40,6 +40,15 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Rows that one part of a numbering or a running sum gets on average, at most.
+PART_ROWS = 1_000_000
+
+
+def parts_for(df: DataFrame, least: int) -> int:
+    """Parts to number the rows of a written table in: at least `least`, and more as it grows."""
+    return max(least, df.count() // PART_ROWS)
+
+
 def words_of(text: Column) -> Column:
     """Array of the maximal runs without SPACES."""
     return F.array_remove(F.split(text, SPACES_RE), "")

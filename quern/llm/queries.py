@@ -113,7 +113,7 @@ def _op9_sql() -> str:
              sum(w) over () - coalesce(sum(w) over (order by c / w, r rows between unbounded preceding and 1 preceding), 0) as open from cap),
     capped as (select *, c * open < rest * w as full_ from left_),
     t as (select source, source_size, case when full_ then c else (select first(rest / open order by c / w, r) from capped where not full_) * w end as target from capped),
-    p as (select doc_id, size, source_size, target, sum(size) over (partition by source order by k, doc_id) - size as before_ from d join t using (source))
+    p as (select doc_id, size, source_size, target, sum(size) over (partition by d.source order by k, doc_id) - size as before_ from d join t on d.source is not distinct from t.source)
     select doc_id, size, source_size, target,
            (size * (case when source_size > 0 then floor(target)::bigint // source_size else 0 end)
             + greatest(0, least(size, floor(target)::bigint - (case when source_size > 0 then floor(target)::bigint // source_size else 0 end) * source_size - before_)))::bigint as taken

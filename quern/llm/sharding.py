@@ -18,13 +18,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import materialize, parts_for
 
 #: Groups above 1 / FINE of a shard are packed one by one; there are fewer than FINE * n_shards of them.
 FINE = 1024
 #: Hash bundles of the smaller groups, for each shard.
 BUNDLES = 256
-#: Parts in which the slots of a shard are numbered.
+#: Parts in which the slots of a shard are numbered, at least.
 SLOT_PARTS = 64
 
 
@@ -112,7 +112,9 @@ def shard(docs: DataFrame, n_shards: int = 8, text_col: str = "text", id_col: st
         F.crc32(text.cast("binary")).alias("text_crc32"),
         F.sha2(text, 256).alias("_group"),
     )
-    rows = materialize(rows, "rows").withColumn("_bundle", F.concat(F.lit("b"), F.pmod(F.xxhash64("_group"), F.lit(BUNDLES * n_shards)).cast("string")))
+    rows = materialize(rows, "rows")
+    parts = parts_for(rows, SLOT_PARTS)
+    rows = rows.withColumn("_bundle", F.concat(F.lit("b"), F.pmod(F.xxhash64("_group"), F.lit(BUNDLES * n_shards)).cast("string")))
     groups = materialize(rows.groupBy("_group", "_bundle").agg(F.sum("size").alias("_size")), "groups")
     total = groups.agg(F.sum("_size")).first()[0] or 0
     large = groups.where(F.col("_size") > total // (FINE * n_shards))
@@ -125,7 +127,7 @@ def shard(docs: DataFrame, n_shards: int = 8, text_col: str = "text", id_col: st
     mapped = (
         rows.join(F.broadcast(own.select(F.col("_item").alias("_group"), F.col("shard").alias("_own"))), "_group", "left")
         .join(F.broadcast(names.select(F.col("_item").alias("_bundle"), F.col("shard").alias("_shared"))), "_bundle", "left")
-        .select("doc_id", "size", "text_crc32", F.coalesce("_own", "_shared").alias("shard"), F.pmod(F.xxhash64("doc_id"), F.lit(SLOT_PARTS)).alias("_part"))
+        .select("doc_id", "size", "text_crc32", F.coalesce("_own", "_shared").alias("shard"), F.pmod(F.xxhash64("doc_id"), F.lit(parts)).alias("_part"))
     )
     mapped = materialize(mapped, "mapped")
     counts = mapped.groupBy("shard", "_part").agg(F.count("*").alias("_n"))

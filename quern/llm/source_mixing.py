@@ -17,12 +17,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import free_name, materialize, words_of
+from .common import free_name, materialize, parts_for, words_of
 
 WEIGHTS = (5, 2, 1)
 MOST_EPOCHS = 3
-#: Key ranges of a source: 16 ** KEY_DIGITS.
-KEY_DIGITS = 2
+#: Key ranges of a source, at least; their number is the next power of 16.
+KEY_RANGES = 256
 
 
 def source_targets(sizes: DataFrame, source: str) -> DataFrame:
@@ -65,7 +65,10 @@ def mix(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", source_
         F.xxhash64(F.col(f"`{text_col}`")).alias("_row"),
         F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(f"`{id_col}`").cast("string"), F.lit("-")))).alias("_key"),
     )
-    sizes = materialize(sizes, "sizes").withColumn("_range", F.substring("_key", 1, KEY_DIGITS))
+    sizes = materialize(sizes, "sizes")
+    # Keys are hex digits, so a prefix of them is a range; the result does not depend on its length.
+    digits = len(f"{parts_for(sizes, KEY_RANGES) - 1:x}")
+    sizes = sizes.withColumn("_range", F.substring("_key", 1, digits))
     targets = source_targets(sizes, "_source")
     ranges = sizes.groupBy("_source", "_range").agg(F.sum("size").alias("_sum"))
     starts = ranges.select("_source", "_range", (F.sum("_sum").over(W.partitionBy("_source").orderBy("_range")) - F.col("_sum")).alias("_start"))
