@@ -40,6 +40,18 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Tables up to this size are dealt out when they come in fewer files than there are cores.
+SPREAD_BYTES = 1 << 30
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """The rows, dealt out to all cores if a small table comes in a few files, whose text work would keep only a few cores busy."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if 0 < len(df.inputFiles()) < cores and df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes() <= SPREAD_BYTES:
+        return df.repartition(cores)
+    return df
+
+
 #: Rows that one part of a numbering or a running sum gets on average, at most.
 PART_ROWS = 1_000_000
 

@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACES, SPACES_RE, free_name, materialize, words_of
+from .common import SPACES, free_name, materialize, spread, words_of
 
 SYMBOLS = "#*$%&|<>"
 RULES = ("symbols", "dup_lines", "word_length")
@@ -106,7 +106,7 @@ def judge_documents(docs: DataFrame, text_col: str = "text", host_col: str = "so
     only if the table of hosts is too large to be broadcast by its size.
     """
     host = F.coalesce(F.concat(F.lit("="), F.col(f"`{host_col}`").cast("string")), F.lit("-"))
-    carried = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row"), F.col(f"`{text_col}`").alias("_body"), host.alias("_host"))
+    carried = spread(docs).select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row"), F.col(f"`{text_col}`").alias("_body"), host.alias("_host"))
     flags = materialize(document_flags(text_stats(carried, "_body")).drop("_body"), "flags")
     hosts = host_verdicts(flags, "_host").drop("n_docs")
     failed = F.lit(False)

@@ -21,6 +21,8 @@ from functools import lru_cache
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from .common import spread
+
 #: Least Dice coefficient of a match.
 DICE = 0.8
 
@@ -140,4 +142,4 @@ def _scan(batches):
 def scan_licenses(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
     """Rows (doc_id, matches), one per row of the input."""
     dtype = dict(docs.dtypes)[id_col]
-    return docs.select(f"`{id_col}`", f"`{text_col}`").mapInArrow(_scan, f"doc_id {dtype}, matches {MATCHES}")
+    return spread(docs.select(f"`{id_col}`", f"`{text_col}`")).mapInArrow(_scan, f"doc_id {dtype}, matches {MATCHES}")

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from .automaton import Automaton
-from .common import utf8_buffers
+from .common import spread, utf8_buffers
 
 
 def either_case(word: str) -> str:
@@ -102,7 +102,7 @@ def _scan(batches):
 def scan_secrets(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
     """Rows (doc_id, spans), one per row of the input; spans sorted by start, then by rule."""
     dtype = dict(docs.dtypes)[id_col]
-    return docs.select(f"`{id_col}`", f"`{text_col}`").mapInArrow(_scan, f"doc_id {dtype}, spans {SPANS}")
+    return spread(docs.select(f"`{id_col}`", f"`{text_col}`")).mapInArrow(_scan, f"doc_id {dtype}, spans {SPANS}")
 
 
 def _mask(data: bytes, spans: list[tuple[int, int, int]], by: bytes) -> str:

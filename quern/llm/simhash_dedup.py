@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import materialize, spread
 from .components import connected_components
 
 SHINGLE = 4
@@ -192,7 +192,7 @@ def links(classes: DataFrame, threshold: int = THRESHOLD, block: int = BLOCK) ->
 def simhash_components(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", threshold: int = THRESHOLD, block: int = BLOCK) -> DataFrame:
     """Rows (doc_id, fp, component_id), one per row of the input; fp is the fingerprint as a signed long."""
     dtype = dict(docs.dtypes)[id_col]
-    rows = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`"))
+    rows = spread(docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`")))
     prints = materialize(rows.mapInArrow(_fingerprints, f"doc_id {dtype}, fp long"), "prints")
     classes = prints.groupBy("fp").agg(F.min("doc_id").alias("least"))
     roots = connected_components(links(classes, threshold, block))

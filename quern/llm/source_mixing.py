@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import free_name, materialize, parts_for, words_of
+from .common import free_name, materialize, parts_for, spread, words_of
 
 WEIGHTS = (5, 2, 1)
 MOST_EPOCHS = 3
@@ -58,7 +58,7 @@ def _taken(size: Column, before: Column, source_size: Column, target: Column) ->
 
 def mix(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", source_col: str = "source", seed: int = 42) -> DataFrame:
     """Rows (id, size, source_size, target, taken), one per row of the input, plus its row hash `_row`."""
-    sizes = docs.select(
+    sizes = spread(docs.select(id_col, text_col, source_col)).select(
         F.col(f"`{id_col}`").alias("doc_id"),
         F.coalesce(F.concat(F.lit("="), F.col(f"`{source_col}`").cast("string")), F.lit("~")).alias("_source"),
         F.size(words_of(F.coalesce(F.col(f"`{text_col}`"), F.lit("")))).cast("long").alias("size"),
