@@ -61,6 +61,19 @@ def parts_for(df: DataFrame, least: int) -> int:
     return max(least, df.count() // PART_ROWS)
 
 
+def join_totals(rows: DataFrame, totals: DataFrame, key: str, how: str = "inner", hint: str | None = None) -> DataFrame:
+    """Join of rows to `totals`, a table aggregated by `key`, in which hot keys can be split.
+
+    A join by the aggregate's own key reads its shuffle below the aggregate, and
+    adaptive execution leaves such a join whole. The second key, derived from
+    the first, gives the totals a shuffle of their own, as long as they are too
+    large to broadcast; then the rows of a hot key go to several tasks.
+    """
+    also = F.pmod(F.xxhash64(key), F.lit(2)).alias("_also")
+    totals = totals.select("*", also)
+    return rows.select("*", also).join(totals.hint(hint) if hint else totals, [key, "_also"], how).drop("_also")
+
+
 def words_of(text: Column) -> Column:
     """Array of the maximal runs without SPACES."""
     return F.array_remove(F.split(text, SPACES_RE), "")

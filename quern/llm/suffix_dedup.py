@@ -42,7 +42,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import utf8_buffers
+from .common import join_totals, utf8_buffers
 
 LENGTH = 100
 GRAM = 32
@@ -351,15 +351,15 @@ def dedup_substrings(docs: DataFrame, text_col: str = "text", id_col: str = "doc
     # The mark tells apart the rows of a repeated id.
     rows = rows.withColumn("mark", F.pmod(F.xxhash64("text"), F.lit(1 << 16)).cast("int"))
     digests = rows.select(*key, F.unhex(F.sha2("text", 256)).alias("digest"))
-    earliest = digests.groupBy("digest").agg(F.min("id").alias("first"), F.count("*").alias("n")).where("n > 1").select("digest", "first")
-    later = digests.join(earliest, "digest").where("id > first").select(*key, F.lit(True).alias("copy")).distinct()
+    earliest = digests.groupBy("digest").agg(F.min("id").alias("first"), F.count("*").alias("n")).where("n > 1")
+    later = join_totals(digests, earliest, "digest").where("id > first").select(*key, F.lit(True).alias("copy")).distinct()
     texts = rows.select(*key, "text").join(later.hint("shuffle_hash"), key, "left")
     own = texts.where("copy is null").select("text", *key)
     counts = own.mapInArrow(lambda bs: _anchors(bs, False, length, gram), "hash long").groupBy("hash").agg(F.count("*").alias("n")).where("n > 1")
     places = own.mapInArrow(lambda bs: _anchors(bs, True, length, gram), "hash long, id long, place long")
     way = F.when(F.col("n") > MOB * crowd, F.lit(SINGLE << 32)).when(F.col("n") > crowd, F.lit(BLOCKS << 32)).otherwise(F.lit(WHOLE))
     packed = way + F.col("place").bitwiseAND(F.lit(0xFFFFFFFF))
-    found = places.join(counts.hint("shuffle_hash"), "hash").select("id", F.shiftright("place", 32).cast("int").alias("mark"), packed.alias("place"))
+    found = join_totals(places, counts, "hash", hint="shuffle_hash").select("id", F.shiftright("place", 32).cast("int").alias("mark"), packed.alias("place"))
     cands = found.groupBy(*key).agg(F.collect_list("place").alias("places"))
     with_places = texts.join(cands.hint("shuffle_hash"), key, "left").select(*key, "text", "places", "copy")
     segments = with_places.select(*key, "text", "places").mapInArrow(
