@@ -28,6 +28,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import join_totals
+
 REVISIT_FROM = 100
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 MEMBER = b"\x1f\x8b\x08"
@@ -36,6 +38,8 @@ ID_URI = "urn:quern:page:"
 EMPTY_MEMBER = (b"\x1f\x8b\x08" + bytes(6) + b"\x03\x03" + bytes(9)).decode("latin-1")
 #: Bytes that are decompressed at a time.
 STEP = 1 << 16
+#: Records of an archive, at most; readers open an archive whole.
+FILE_RECORDS = 10_000
 #: Records that a reading task hands on at a time.
 BATCH = 128
 
@@ -171,12 +175,12 @@ def write_archives(pages: DataFrame, path: str) -> None:
     """Write pages (page_id, url, html) as archives under `path`. The page texts are shuffled once."""
     payload = F.coalesce(F.col("html"), F.lit(""))
     rows = pages.select("page_id", "url", "html", F.sha2(payload, 256).alias("digest"))
-    sized = pages.select("page_id", F.sha2(payload, 256).alias("digest"), F.octet_length(payload).alias("n"))
-    firsts = sized.where(F.col("n") >= REVISIT_FROM).groupBy("digest").agg(F.min("page_id").alias("first"))
+    sized = pages.select("page_id", F.sha2(payload, 256).alias("digest"), F.octet_length(payload).alias("size"))
+    firsts = sized.where(F.col("size") >= REVISIT_FROM).groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1")
     later = F.when(F.col("first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first")), F.col("first"))
-    joined = rows.join(firsts, "digest", "left").select("page_id", "url", "html", "digest", later.alias("refers_to"))
+    joined = join_totals(rows, firsts, "digest", "left").select("page_id", "url", "html", "digest", later.alias("refers_to"))
     members = joined.mapInArrow(_format, "member binary")
-    members.select(F.col("member").cast("string").alias("value")).write.option("lineSep", EMPTY_MEMBER).option("encoding", "ISO-8859-1").text(path)
+    members.select(F.col("member").cast("string").alias("value")).write.option("maxRecordsPerFile", FILE_RECORDS).option("lineSep", EMPTY_MEMBER).option("encoding", "ISO-8859-1").text(path)
 
 
 READ_SCHEMA = (
