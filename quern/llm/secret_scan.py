@@ -60,10 +60,13 @@ def _resolve(data: bytes, hits: list[tuple[int, int]]) -> list[tuple[int, int, i
                 continue
             for m in pattern.finditer(data, max(data.rfind(b"\n", 0, end) + 1, done[r])):
                 if m.start() > end:
+                    done[r] = m.start()
                     break
                 done[r] = m.end()
                 if m.end(group) - m.start(group) >= least:
                     spans.append((m.start(), r, m.end()))
+            else:
+                done[r] = len(data) + 1
     return sorted(spans)
 
 
