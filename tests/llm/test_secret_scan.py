@@ -63,3 +63,10 @@ def test_automaton_is_minimal_and_right():
     raw = np.frombuffer(b"abbbc xz", np.uint8)
     hits = list(a.scan(raw, np.array([0]), np.array([8])))
     assert [(p, m) for _, p, m in hits] == [(2, 2), (3, 2), (4, 1), (7, 4)]
+
+
+def test_many_hits_without_a_match():
+    text = "ghp_abcdefgh-" * 20_000 + "ghp_" + "z" * 36 + " xoxb-abcd " * 20_000
+    spans = S.find_spans(pa.array([text]))
+    at = len("ghp_abcdefgh-") * 20_000
+    assert spans == {0: [(at, S.KINDS.index("github"), at + 40)]}
