@@ -21,11 +21,13 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of least id of each group; of rows that repeat an id, one."""
-    groups = simhash_dedup.simhash_components(docs)
-    keepers = groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy(F.col("doc_id").alias("_id")).agg(F.count("*").alias("_n"))
-    joined = docs.join(keepers, docs["doc_id"].eqNullSafe(keepers["_id"]))
-    return joined.where("_n = 1").unionAll(joined.where("_n > 1").dropDuplicates(["doc_id"])).select(*docs.columns)
+    """The row of least id of each group (null ids last, then by text hash); of rows that repeat id and text, one."""
+    own = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.xxhash64("text").alias("text"))
+    groups = simhash_dedup.simhash_components(docs.select(own.alias("doc_id"), "text"))
+    first = groups.where("doc_id = component_id")
+    keepers = first.groupBy(F.col("doc_id.id").alias("_id"), F.col("doc_id.text").alias("_hash")).agg(F.count("*").alias("_n"))
+    joined = docs.join(keepers, docs["doc_id"].eqNullSafe(keepers["_id"]) & (F.xxhash64(docs["text"]) == keepers["_hash"]))
+    return joined.where("_n = 1").unionAll(joined.where("_n > 1").dropDuplicates(["doc_id", "text"])).select(*docs.columns)
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -42,6 +42,15 @@ def test_no_clash_with_other_columns(spark):
     assert P.near_duplicates(spark, docs, "").columns == docs.columns
 
 
+def test_near_duplicates_with_null_and_repeated_ids(spark):
+    docs, _ = corpus(spark)
+    texts = [r["text"] for r in docs.where("doc_id < 4").orderBy("doc_id").collect()]
+    rows = [(None, texts[0]), (None, texts[1]), (None, texts[1]), (7, texts[2]), (7, texts[2]), (9, texts[2]), (9, texts[3])]
+    df = spark.createDataFrame([(d, t, "en", "s", len(t)) for d, t in rows], docs.schema)
+    got = sorted((str(r["doc_id"]), r["text"]) for r in P.near_duplicates(spark, df, "").collect())
+    assert got == sorted([("None", texts[0]), ("None", texts[1]), ("7", texts[2]), ("9", texts[3])])
+
+
 def test_queries_run_over_whole_tables(spark):
     sf = "/root/testdata/sf0.001"
     n = spark.read.parquet(f"{sf}/documents.parquet").count()
