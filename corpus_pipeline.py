@@ -11,7 +11,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm import best_fit_packing, host_quality, secret_scan, simhash_dedup, source_mixing
+from quern.llm import best_fit_packing, host_quality, jaccard_dedup, secret_scan, source_mixing
 from quern.llm.common import materialize, table
 
 
@@ -21,9 +21,9 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The row of least id of each group (null ids last, then by text hash); of rows that repeat id and text, one."""
+    """The row of least id of each group of five-word Jaccard 0.8 or more (null ids last, then by text hash); of rows that repeat id and text, one."""
     own = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.xxhash64("text").alias("text"))
-    groups = simhash_dedup.simhash_components(docs.select(own.alias("doc_id"), "text"))
+    groups = jaccard_dedup.near_duplicate_components(docs.select(own.alias("doc_id"), "text"))
     first = groups.where("doc_id = component_id")
     keepers = first.groupBy(F.col("doc_id.id").alias("_id"), F.col("doc_id.text").alias("_hash")).agg(F.count("*").alias("_n"))
     joined = docs.join(keepers, docs["doc_id"].eqNullSafe(keepers["_id"]) & (F.xxhash64(docs["text"]) == keepers["_hash"]))

@@ -1,0 +1,212 @@
+"""Near-duplicates by exact Jaccard similarity of word shingles, found by a prefix join.
+
+Two texts are linked where |A & B| / |A | B| of their shingle sets is at least
+the similarity. In one common order of all shingles, two sets of similarity t
+share one of the first n - ceil(t n) + 1 of each, so the pairs that share one
+there hold every link. SimHash anchors do not: pairs of similarity 0.8 differ in
+some 10 of 64 bits. The order puts shingles that are frequent in a bounded
+sample last; any order is right, this one keeps the groups of a shingle small.
+
+Candidates are dropped where counts of shingles by bucket already show too
+small an overlap; the rest is verified on the whole sets. A shingle with at
+most GROUP texts yields all its pairs. One with more first yields the pairs
+with a leader, ROUNDS times; after that the pairs of texts that are still in
+different components are compared one by one, so nothing is capped or sampled.
+
+Edge cases: texts without words (null, empty, blank) are one class with each
+other; a text with fewer words than a shingle is one shingle; texts of equal
+64-bit hash are one class; an empty table gives an empty result.
+"""
+
+from __future__ import annotations
+
+from fractions import Fraction
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from .common import materialize, spread
+from .components import connected_components
+from .simhash_dedup import shingle_hashes
+
+SHINGLE = 5
+SIMILARITY = 0.8
+#: Texts that the order of shingles is estimated on, about, and frequent shingles that are kept of them at most.
+SAMPLE, FREQUENT = 4000, 100_000
+#: Texts of a shingle up to which all their pairs are candidates at once.
+GROUP = 16
+#: Buckets that a set's shingles are counted in.
+BUCKETS = 256
+#: Passes over larger groups by a leader before the rest is compared one by one.
+ROUNDS = 2
+
+
+def shingle_set(text: str | None, shingle: int = SHINGLE) -> np.ndarray:
+    return np.unique(shingle_hashes(text, shingle))
+
+
+def prefix_length(n: int, share: Fraction) -> int:
+    """Shingles of a set of n of which any set of similarity `share` or more holds one, if they come first in both."""
+    return n - -(-n * share.numerator // share.denominator) + 1
+
+
+def _frequent(rows: DataFrame, shingle: int) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles that several texts of the sample hold, ascending, and in how many."""
+
+    def tokens(batches):
+        for b in batches:
+            found = [shingle_set(t, shingle) for t in b.column(0).to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.zeros(0, np.uint64), *found]).view(np.int64))], names=["token"])
+
+    step = max(1, rows.count() // SAMPLE)
+    drawn = rows.where(F.pmod("node", F.lit(step)) == 0).select("text").mapInArrow(tokens, "token long")
+    most = drawn.groupBy("token").agg(F.count("*").alias("n")).where("n > 2").orderBy(F.desc("n"), "token").limit(FREQUENT).toPandas().sort_values("token")
+    return most["token"].to_numpy(np.int64), most["n"].to_numpy(np.int64)
+
+
+def _prints(batches, shingle: int, share: Fraction, frequent: tuple[np.ndarray, np.ndarray]):
+    known, often = frequent
+    for b in batches:
+        sizes, prefixes, counts = [], [], []
+        for text in b.column(1).to_pylist():
+            s = shingle_set(text, shingle).view(np.int64)
+            sizes.append(len(s))
+            n = np.zeros(len(s), np.int64)
+            if len(known):
+                at = np.minimum(np.searchsorted(known, s), len(known) - 1)
+                n = np.where(known[at] == s, often[at], 0)
+            prefixes.append(s[np.lexsort((s, n))[: prefix_length(len(s), share)]] if len(s) else s)
+            counts.append(np.minimum(np.bincount(s & BUCKETS - 1, minlength=BUCKETS), 255).astype(np.uint8).tobytes())
+        yield pa.RecordBatch.from_arrays(
+            [b.column(0), pa.array(sizes, pa.int32()), pa.array(prefixes, pa.list_(pa.int64())), pa.array(counts, pa.binary())], names=["node", "n", "prefix", "counts"]
+        )
+
+
+def _groups(batches, share: Fraction, group: int):
+    """Rows come sorted by token: candidate pairs (a, b) of small groups, and rows (a, n, token) of the members of large ones."""
+    num, den = share.numerator, share.denominator
+
+    def out(a, b, n, token):
+        arrays = [pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(n, pa.int32()), pa.array(token, pa.int64())]
+        return pa.RecordBatch.from_arrays(arrays, names=["a", "b", "n", "token"])
+
+    def close(token, node, n):
+        starts = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]]))
+        size = np.diff(np.append(starts, len(token)))
+        ends = np.repeat(starts + size, size)
+        large = np.repeat(size, size) > group
+        if large.any():
+            k = int(large.sum())
+            yield out(node[large], pa.nulls(k, pa.int64()), n[large], token[large])
+        at = np.flatnonzero(~large)
+        for d in range(1, group):
+            at = at[at + d < ends[at]]
+            if not len(at):
+                break
+            fits = at[np.minimum(n[at], n[at + d]) * den >= np.maximum(n[at], n[at + d]) * num]
+            a, b = np.minimum(node[fits], node[fits + d]), np.maximum(node[fits], node[fits + d])
+            if len(a):
+                pairs = np.unique(np.stack([a, b], 1), axis=0)
+                yield out(pairs[:, 0], pairs[:, 1], pa.nulls(len(pairs), pa.int32()), pa.nulls(len(pairs), pa.int64()))
+
+    held, rest = [], 0
+    for b in batches:
+        now = [b.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in range(3)]
+        if not len(now[0]):
+            continue
+        held.append(now)
+        rest += len(now[0])
+        if rest < 100_000 or held[0][0][0] == now[0][-1]:
+            continue
+        rows = [np.concatenate(x) for x in zip(*held)]
+        cut = int(np.searchsorted(rows[0], rows[0][-1], side="left"))
+        yield from close(*(x[:cut] for x in rows))
+        held, rest = [[x[cut:] for x in rows]], len(rows[0]) - cut
+    if held:
+        yield from close(*(np.concatenate(x) for x in zip(*held)))
+
+
+def _sets(batches, shingle: int):
+    for b in batches:
+        sets = [shingle_set(t, shingle).view(np.int64) for t in b.column(1).to_pylist()]
+        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["node", "tokens"])
+
+
+def _verified(batches, share: Fraction):
+    for b in batches:
+        left, right = b.column(2), b.column(3)
+        keep = []
+        for i in range(b.num_rows):
+            x, y = left[i].values.to_numpy(), right[i].values.to_numpy()
+            common = len(np.intersect1d(x, y, assume_unique=True))
+            keep.append(common * share.denominator >= share.numerator * (len(x) + len(y) - common))
+        yield b.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+
+def _possible(batches, share: Fraction):
+    """Pairs whose bucket counts leave room for the overlap that they need; what a full bucket does not count may be common."""
+    for b in batches:
+        na, nb = (b.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in (2, 3))
+        x, y = (np.frombuffer(b"".join(b.column(i).to_pylist()), np.uint8).reshape(-1, BUCKETS) for i in (4, 5))
+        most = np.minimum(x, y).sum(axis=1, dtype=np.int64) + np.minimum(na - x.sum(axis=1, dtype=np.int64), nb - y.sum(axis=1, dtype=np.int64))
+        yield b.select(["a", "b"]).filter(pa.array(most * share.denominator >= share.numerator * (na + nb - most), pa.bool_()))
+
+
+def verify(pairs: DataFrame, rows: DataFrame, prints: DataFrame, shingle: int, share: Fraction) -> DataFrame:
+    """The pairs (a, b) whose texts reach the similarity; rows has node and text."""
+    pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a < b").distinct()
+    side = lambda x, *columns: prints.select(F.col("node").alias(x), *(F.col(c).alias(f"{c}_{x}") for c in columns))
+    both = pairs.join(side("a", "n", "counts"), "a").join(side("b", "n", "counts"), "b").select("a", "b", "n_a", "n_b", "counts_a", "counts_b")
+    pairs = materialize(both.mapInArrow(lambda bs: _possible(bs, share), "a long, b long"), "pairs")
+    asked = pairs.select(F.col("a").alias("node")).unionAll(pairs.select(F.col("b").alias("node"))).distinct()
+    held = rows.join(asked, "node", "left_semi").select("node", "text").mapInArrow(lambda bs: _sets(bs, shingle), "node long, tokens array<long>")
+    sets = materialize(held.dropDuplicates(["node"]), "sets")
+    both = pairs.join(sets.select(F.col("node").alias("a"), F.col("tokens").alias("left")), "a").join(sets.select(F.col("node").alias("b"), F.col("tokens").alias("right")), "b")
+    return materialize(both.select("a", "b", "left", "right").mapInArrow(lambda bs: _verified(bs, share), "a long, b long"), "verified")
+
+
+def _settled(large: DataFrame, edges: DataFrame) -> DataFrame:
+    """Members of large groups with their component, without the groups that are in one component."""
+    roots = connected_components(edges)
+    named = large.select("token", "node", "n").join(roots, "node", "left").select("token", "node", "n", F.coalesce("root", "node").alias("root"))
+    unsettled = named.groupBy("token").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x < y").select("token")
+    return materialize(named.join(unsettled, "token", "left_semi"), "open")
+
+
+def near_duplicate_components(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", shingle: int = SHINGLE, similarity: float = SIMILARITY, group: int = GROUP) -> DataFrame:
+    """Rows (doc_id, component_id), one per row of the input; component_id is the least id that links reach."""
+    share = Fraction(str(similarity))
+    text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
+    rows = spread(docs.select(F.col(f"`{id_col}`").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("node")))
+    frequent = _frequent(rows, shingle)
+    every = rows.select("node", "text").mapInArrow(lambda bs: _prints(bs, shingle, share, frequent), "node long, n int, prefix array<long>, counts binary")
+    prints = materialize(every.dropDuplicates(["node"]), "prints")
+
+    blank = prints.where("n = 0")
+    blanks = blank.crossJoin(F.broadcast(blank.agg(F.min("node").alias("b")))).select(F.col("node").alias("a"), "b").where("a <> b")
+
+    tokens = prints.select(F.explode("prefix").alias("token"), "node", "n").repartition("token").sortWithinPartitions("token", "node")
+    joined = materialize(tokens.mapInArrow(lambda bs: _groups(bs, share, group), "a long, b long, n int, token long"), "joined")
+    edges = verify(joined.where("b is not null").select("a", "b"), rows, prints, shingle, share).unionAll(blanks)
+
+    alike = F.least(F.col("n"), F.col("m")) * share.denominator >= F.greatest(F.col("n"), F.col("m")) * share.numerator
+    large = joined.where("b is null").select("token", F.col("a").alias("node"), "n")
+    for r in range(ROUNDS + 1):
+        if r == 0 and large.isEmpty():
+            break
+        large = _settled(large, edges)
+        if large.isEmpty():
+            break
+        if r < ROUNDS:
+            first = large.groupBy("token").agg(F.min_by(F.struct("node", "n", "root"), F.xxhash64("node", F.lit(r))).alias("l"))
+            other = first.select("token", F.col("l.node").alias("b"), F.col("l.n").alias("m"), F.col("l.root").alias("other"))
+        else:
+            other = large.select("token", F.col("node").alias("b"), F.col("n").alias("m"), F.col("root").alias("other"))
+        met = large.join(other, "token").where((F.col("root") < F.col("other")) if r == ROUNDS else (F.col("root") != F.col("other")))
+        edges = edges.unionAll(verify(met.where(alike).select(F.col("node").alias("a"), "b"), rows, prints, shingle, share))
+    roots = connected_components(edges)
+    named = rows.select("doc_id", "node").join(roots, "node", "left").select("doc_id", F.coalesce("root", "node").alias("root"))
+    named = materialize(named, "named")
+    return named.join(named.groupBy("root").agg(F.min("doc_id").alias("component_id")), "root").select("doc_id", "component_id")

@@ -40,17 +40,24 @@ BLOCKS, BLOCK_BITS = 4, 16
 BLOCK = 2048
 
 
-def fingerprint(text: str | None) -> int:
-    """Unsigned 64-bit SimHash of the text's word shingles."""
+def shingle_hashes(text: str | None, shingle: int = SHINGLE) -> np.ndarray:
+    """64-bit hashes of the text's word shingles, in their order."""
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()
     if not words:
-        return 0
-    if len(words) < SHINGLE:
+        return np.zeros(0, "<u8")
+    if len(words) < shingle:
         shingles = [b" ".join(words)]
     else:
-        shingles = map(b" ".join, zip(*(words[i:] for i in range(SHINGLE))))
+        shingles = map(b" ".join, zip(*(words[i:] for i in range(shingle))))
     digest = xxhash.xxh64_intdigest
-    h = np.array([digest(s, SEED) for s in shingles], dtype="<u8")
+    return np.array([digest(s, SEED) for s in shingles], dtype="<u8")
+
+
+def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
+    """Unsigned 64-bit SimHash of the text's word shingles."""
+    h = shingle_hashes(text, shingle)
+    if not len(h):
+        return 0
     ones = np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
     return int(np.packbits(2 * ones > len(h), bitorder="little").view("<u8")[0])
 

@@ -1,0 +1,60 @@
+import random
+
+import corpus_pipeline as P
+from quern.llm import jaccard_dedup as J
+from quern.llm import simhash_dedup
+
+
+def jaccard(a, b, k=5):
+    x, y = ({tuple(w[i : i + k]) for i in range(max(1, len(w) - k + 1))} for w in (a.lower().split(), b.lower().split()))
+    return len(x & y) / len(x | y)
+
+
+def near_copies(seed=3, n=40, copies=2):
+    """Texts with copies in which single words differ, some a little over and some a little under 0.8."""
+    r = random.Random(seed)
+    word = lambda: "".join(r.choice("abcdefghij") for _ in range(r.randint(3, 7)))
+    rows, common = [], [word() for _ in range(12)]
+    for _ in range(n):
+        words = common + [word() for _ in range(r.randint(60, 300))]
+        rows.append(" ".join(words))
+        for _ in range(copies):
+            changed = list(words)
+            for _ in range(max(1, round(len(words) * r.uniform(0.005, 0.035)))):
+                changed[r.randrange(12, len(words))] = word()
+            rows.append(" ".join(changed))
+    return list(enumerate(rows))
+
+
+def brute(rows):
+    root = {d: d for d, _ in rows}
+    for d, t in rows:
+        for e, u in rows:
+            if e < d and root[d] != root[e] and jaccard(t, u) >= 0.8:
+                low, high = sorted((root[d], root[e]))
+                root = {x: low if y == high else y for x, y in root.items()}
+    return root
+
+
+def test_components_equal_brute_force(spark):
+    """Small groups, and large ones down to the pairs that are compared one by one."""
+    rows = near_copies()
+    want = brute(rows)
+    far = [(a, b) for (a, t) in rows for (b, u) in rows if a < b and jaccard(t, u) >= 0.8 and (simhash_dedup.fingerprint(t) ^ simhash_dedup.fingerprint(u)).bit_count() > simhash_dedup.THRESHOLD]
+    assert len(far) > 10 and len(set(want.values())) > 45
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    for group in (J.GROUP, 1):
+        assert {r["doc_id"]: r["component_id"] for r in J.near_duplicate_components(df, group=group).collect()} == want
+
+
+def test_stage_removes_near_copies(spark):
+    rows = near_copies(seed=4, n=12)
+    df = spark.createDataFrame([(d, t, "en", "s", len(t)) for d, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    assert {r["doc_id"] for r in P.near_duplicates(spark, df, "").collect()} == set(brute(rows).values())
+
+
+def test_texts_without_words_and_empty_table(spark):
+    df = spark.createDataFrame([(3, None), (2, ""), (1, " \n"), (5, "one two"), (4, "One  two"), (6, "one")], "doc_id long, text string")
+    got = {r["doc_id"]: r["component_id"] for r in J.near_duplicate_components(df).collect()}
+    assert got == {3: 1, 2: 1, 1: 1, 5: 4, 4: 4, 6: 6}
+    assert J.near_duplicate_components(df.limit(0)).count() == 0
