@@ -115,7 +115,7 @@ def _anchors(batches, with_place: bool, length: int, gram: int):
     for b in batches:
         raw, starts, ends = utf8_buffers(b.column(0))
         if with_place:
-            ids, marks = (b.column(i).to_numpy(zero_copy_only=False) for i in (1, 2))
+            marks = b.column(1).to_numpy(zero_copy_only=False)
         for i, j in _chunks(starts, ends):
             at, h = anchors(raw, starts[i:j], ends[i:j], length, gram)
             if not len(at):
@@ -125,8 +125,8 @@ def _anchors(batches, with_place: bool, length: int, gram: int):
                 continue
             row = np.searchsorted(starts[i:j], at, side="right") - 1 + i
             # Empty texts share a start with the next one; the last of them holds the bytes.
-            columns = [h.view(np.int64), ids[row], marks[row].astype(np.int64) << 32 | (at - starts[row])]
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["hash", "id", "place"])
+            columns = [h.view(np.int64), marks[row], at - starts[row]]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["hash", "mark", "place"])
 
 
 # How an anchor's windows are dealt out: all in one segment, in blocks, one by one. A class is named by WHOLE,
@@ -178,7 +178,7 @@ def _pieces(data: bytes, pos: int, h: int, way: int, length: int, gram: int):
 def _segments(batches, length: int, gram: int):
     """Strings around the anchors of each document. Equal ones of a task are one row, with its first place."""
     names = ["deal", "off", "way", "segment", "id", "mark", "pos"]
-    types = [pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.int64(), pa.int32(), pa.int32()]
+    types = [pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.int64(), pa.int64(), pa.int32()]
 
     def table(held):
         rows = [(*key, *place) for key, place in held.items()]
@@ -261,10 +261,10 @@ def _columns(batches, length: int, gram: int):
         rank[by] = np.concatenate([[0], np.cumsum(step)])
         found = repeated_windows(group, symbols, low, high, rank, length)
         masks = [m.tobytes() if some else None for m, some in zip(np.packbits(found, axis=1), found.any(axis=1).tolist())]
-        return out(ids, marks, np.where(ways == BLOCKS, FIRST_BLOCK + low // BLOCK, WHOLE) << 32 | places, masks)
+        return out(marks, np.where(ways == BLOCKS, FIRST_BLOCK + low // BLOCK, WHOLE) << 32 | places, masks)
 
-    def out(ids, marks, places, masks):
-        return pa.RecordBatch.from_arrays([pa.array(ids), pa.array(marks.astype(np.int32)), pa.array(places.astype(np.int64)), pa.array(masks, type=pa.binary())], names=["id", "mark", "place", "mask"])
+    def out(marks, places, masks):
+        return pa.RecordBatch.from_arrays([pa.array(marks), pa.array(places.astype(np.int64)), pa.array(masks, type=pa.binary())], names=["mark", "place", "mask"])
 
     def rows_of(held):
         return [[x for h in held for x in h[3]] if k == 3 else np.concatenate([h[k] for h in held]) for k in range(7)]
@@ -274,7 +274,7 @@ def _columns(batches, length: int, gram: int):
         now = [b.column(k).to_pylist() if k == 3 else b.column(k).to_numpy().astype(np.int64) for k in range(7)]
         alone = now[2] == SINGLE
         if alone.any():
-            yield out(now[4][alone], now[5][alone], now[1][alone] + length << 32 | now[6][alone], [None] * int(alone.sum()))
+            yield out(now[5][alone], now[1][alone] + length << 32 | now[6][alone], [None] * int(alone.sum()))
             rest = np.nonzero(~alone)[0]
             now = [[x[r] for r in rest] if k == 3 else x[rest] for k, x in enumerate(now)]
         if not len(now[0]):
@@ -345,29 +345,30 @@ def dedup_substrings(docs: DataFrame, text_col: str = "text", id_col: str = "doc
 
     Texts are shuffled once: all steps read the same exchange.
     """
-    key = ["id", "mark"]
+    key = ["mark"]
     text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
     rows = docs.select(text.alias("text"), F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(_NO_ID)).alias("id"))
-    # The mark tells apart the rows of a repeated id.
-    rows = rows.withColumn("mark", F.pmod(F.xxhash64("text"), F.lit(1 << 16)).cast("int"))
-    digests = rows.select(*key, F.unhex(F.sha2("text", 256)).alias("digest"))
+    # The mark stands for the row: 64 bits, as one id, or null, may belong to any number of texts.
+    rows = rows.withColumn("mark", F.xxhash64("id", "text"))
+    digests = rows.select(*key, "id", F.unhex(F.sha2("text", 256)).alias("digest"))
     earliest = digests.groupBy("digest").agg(F.min("id").alias("first"), F.count("*").alias("n")).where("n > 1")
     later = join_totals(digests, earliest, "digest").where("id > first").select(*key, F.lit(True).alias("copy")).distinct()
-    texts = rows.select(*key, "text").join(later.hint("shuffle_hash"), key, "left")
-    own = texts.where("copy is null").select("text", *key)
+    texts = rows.select("id", *key, "text").join(later.hint("shuffle_hash"), key, "left")
+    # The id is not needed here, but without it this would be another exchange of the texts.
+    own = texts.where("copy is null").select("text", *key, "id")
     counts = own.mapInArrow(lambda bs: _anchors(bs, False, length, gram), "hash long").groupBy("hash").agg(F.count("*").alias("n")).where("n > 1")
-    places = own.mapInArrow(lambda bs: _anchors(bs, True, length, gram), "hash long, id long, place long")
+    places = own.mapInArrow(lambda bs: _anchors(bs, True, length, gram), "hash long, mark long, place long")
     way = F.when(F.col("n") > MOB * crowd, F.lit(SINGLE << 32)).when(F.col("n") > crowd, F.lit(BLOCKS << 32)).otherwise(F.lit(WHOLE))
     packed = way + F.col("place").bitwiseAND(F.lit(0xFFFFFFFF))
-    found = join_totals(places, counts, "hash", hint="shuffle_hash").select("id", F.shiftright("place", 32).cast("int").alias("mark"), packed.alias("place"))
+    found = join_totals(places, counts, "hash", hint="shuffle_hash").select("mark", packed.alias("place"))
     cands = found.groupBy(*key).agg(F.collect_list("place").alias("places"))
-    with_places = texts.join(cands.hint("shuffle_hash"), key, "left").select(*key, "text", "places", "copy")
-    segments = with_places.select(*key, "text", "places").mapInArrow(
-        lambda bs: _segments(bs, length, gram), "deal long, off int, way int, segment binary, id long, mark int, pos int"
+    with_places = texts.join(cands.hint("shuffle_hash"), key, "left").select("id", *key, "text", "places", "copy")
+    segments = with_places.select("id", *key, "text", "places").mapInArrow(
+        lambda bs: _segments(bs, length, gram), "deal long, off int, way int, segment binary, id long, mark long, pos int"
     )
     classes = segments.repartition("deal").groupBy("deal", "off", "way", "segment").agg(F.min(F.struct("id", "pos", "mark")).alias("first"))
     classes = classes.select("deal", "off", "way", "segment", "first.id", "first.mark", "first.pos").sortWithinPartitions("deal")
-    built = classes.mapInArrow(lambda bs: _columns(bs, length, gram), "id long, mark int, place long, mask binary")
+    built = classes.mapInArrow(lambda bs: _columns(bs, length, gram), "mark long, place long, mask binary")
     firsts = built.groupBy(*key).agg(F.collect_list(F.struct("place", "mask")).alias("firsts"))
-    whole = with_places.join(firsts.hint("shuffle_hash"), key, "left").select(*key, "text", "places", "firsts", "copy")
+    whole = with_places.join(firsts.hint("shuffle_hash"), key, "left").select("id", *key, "text", "places", "firsts", "copy")
     return whole.mapInArrow(lambda bs: _finish(bs, length, gram), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, removed array<struct<start long, end long>>")

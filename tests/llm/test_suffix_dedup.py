@@ -81,6 +81,27 @@ def test_null_ids_repeated_rows_and_empty(spark):
     assert S.dedup_substrings(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("doc", [None, 7])
+def test_many_different_texts_under_one_id(spark, doc):
+    """Rows are told apart by more than the id and a few bits: each text has the passage at a place of its own."""
+    r = random.Random(9)
+    word = lambda k: "".join(r.choice("abcdefghijklmnop") for _ in range(k))
+    passage = word(120)
+    # Of all texts the start of the passage differs, and the symbols beside it.
+    rows = [(doc, word(i) + chr(0x100 + i) + passage + chr(0x1100 + i) + word(20)) for i in range(2500)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = {x["n_bytes"]: [tuple(s) for s in x["removed"]] for x in S.dedup_substrings(df).collect()}
+    starts = {len(t.encode()): t.encode().index(passage.encode()) for _, t in rows}
+    assert got.keys() == starts.keys()
+    for size, start in starts.items():
+        spans = got[size]
+        if start == min(starts.values()):
+            assert spans == []
+        else:
+            # Last bytes of the symbols beside the passage may be common as well.
+            assert len(spans) == 1 and start - 1 <= spans[0][0] <= start and start + 120 <= spans[0][1] <= start + 122
+    
+
 def test_equal_windows_share_an_anchor():
     rng = np.random.default_rng(3)
     common = rng.integers(97, 101, 100, dtype=np.uint8)
