@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import sys
 import tempfile
+import types
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -17,11 +19,24 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def kept(key: tuple, make):
+    """make(), once per worker process and key: tasks that follow each other there share what is dear to build.
+
+    Functions of this package are pickled by value, so a cache of their module would live for one task only.
+    """
+    held = sys.modules.setdefault("_quern_kept", types.ModuleType("_quern_kept")).__dict__
+    if key not in held:
+        held[key] = make()
+    return held[key]
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a folder of our own where that is unset (local runs)."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Only local runs may leave it unset and get a folder of this machine."""
     set_dir = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if set_dir:
         return set_dir.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
     own = f"file://{tempfile.gettempdir()}/quern-shared"
     spark.sparkContext.setCheckpointDir(own)
     spark.conf.set("spark.checkpoint.dir", own)
@@ -61,17 +76,18 @@ def parts_for(df: DataFrame, least: int) -> int:
     return max(least, df.count() // PART_ROWS)
 
 
-def join_totals(rows: DataFrame, totals: DataFrame, key: str, how: str = "inner", hint: str | None = None) -> DataFrame:
-    """Join of rows to `totals`, a table aggregated by `key`, in which hot keys can be split.
+def join_totals(rows: DataFrame, totals: DataFrame, key: str | list[str], how: str = "inner", hint: str | None = None) -> DataFrame:
+    """Join of rows to `totals`, a table aggregated by `key` (one column or several), in which hot keys can be split.
 
     A join by the aggregate's own key reads its shuffle below the aggregate, and
     adaptive execution leaves such a join whole. The second key, derived from
     the first, gives the totals a shuffle of their own, as long as they are too
     large to broadcast; then the rows of a hot key go to several tasks.
     """
-    also = F.pmod(F.xxhash64(key), F.lit(2)).alias("_also")
+    keys = [key] if isinstance(key, str) else list(key)
+    also = F.pmod(F.xxhash64(*keys), F.lit(2)).alias("_also")
     totals = totals.select("*", also)
-    return rows.select("*", also).join(totals.hint(hint) if hint else totals, [key, "_also"], how).drop("_also")
+    return rows.select("*", also).join(totals.hint(hint) if hint else totals, [*keys, "_also"], how).drop("_also")
 
 
 def words_of(text: Column) -> Column:

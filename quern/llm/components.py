@@ -1,11 +1,15 @@
-"""Connected components by alternating star contraction, one Spark job a round."""
+"""Connected components by alternating star contraction, one Spark job a round.
+
+The centre of a star may have any share of all edges: its least neighbour is
+found with map-side minima, and the join back to its edges splits hot keys.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import join_totals, materialize
 
 
 def _ordered(edges: DataFrame) -> DataFrame:
@@ -17,13 +21,13 @@ def _large_star(edges: DataFrame) -> DataFrame:
     """Every larger neighbour of a node moves to the node's least neighbour."""
     both = edges.select(F.col("hi").alias("x"), F.col("lo").alias("y")).unionAll(edges.select(F.col("lo").alias("x"), F.col("hi").alias("y")))
     least = both.groupBy("x").agg(F.min("y").alias("m")).select("x", F.least("x", "m").alias("m"))
-    return both.where("y > x").join(least, "x").select(F.col("y").alias("a"), F.col("m").alias("b"))
+    return join_totals(both.where("y > x"), least, "x").select(F.col("y").alias("a"), F.col("m").alias("b"))
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
     """The smaller neighbours of a node, and the node, move to the least of them."""
     least = edges.groupBy("hi").agg(F.min("lo").alias("m"))
-    moved = edges.join(least, "hi").where("lo > m").select(F.col("lo").alias("a"), F.col("m").alias("b"))
+    moved = join_totals(edges, least, "hi").where("lo > m").select(F.col("lo").alias("a"), F.col("m").alias("b"))
     return moved.unionAll(least.select(F.col("hi").alias("a"), F.col("m").alias("b")))
 
 
