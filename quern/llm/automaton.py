@@ -3,6 +3,7 @@
 Patterns use literals, escapes, classes, groups, alternation and the repeats
 ? * + {m} {m,} {m,n}. Subset construction runs over byte classes (bytes that no
 pattern tells apart), with a fresh start at every byte; equal states are merged.
+Automata without the fresh start, forward or backward, fix the ends of a match.
 """
 
 from __future__ import annotations
@@ -11,6 +12,8 @@ import numpy as np
 
 #: From this many texts on, a step over all of them at once is cheaper than one text at a time.
 LOCKSTEP = 24
+#: Bytes of a single text that are turned into a list at a time.
+BLOCK = 1 << 16
 
 
 class _Nfa:
@@ -133,16 +136,30 @@ def _repeat(p: str, at: int, node: tuple) -> tuple[tuple, int]:
     return node, at
 
 
+def reverse(node: tuple) -> tuple:
+    """The tree of the reversed strings."""
+    if node[0] == "set":
+        return node
+    if node[0] == "rep":
+        return ("rep", reverse(node[1]), *node[2:])
+    inner = [reverse(x) for x in node[1]]
+    return (node[0], inner[::-1] if node[0] == "cat" else inner)
+
+
 class Automaton:
-    """Transition array for a list of patterns; a state at or above `accepting` has `rules[state]`, a mask of the patterns that end there."""
+    """Transition array for a list of patterns; a state at or above `accepting` has `rules[state]`, a mask of the patterns that end there.
+
+    anywhere: a match may start at every byte; backward: the array is for the reversed strings.
+    """
 
-    def __init__(self, patterns: list[str]) -> None:
+    def __init__(self, patterns: list[str], anywhere: bool = True, backward: bool = False) -> None:
         nfa = _Nfa()
         starts, finals = [], {}
         for i, p in enumerate(patterns):
             s = nfa.state()
             starts.append(s)
-            finals[nfa.add(parse(p), s)] = 1 << i
+            finals[nfa.add(reverse(parse(p)) if backward else parse(p), s)] = 1 << i
+        again = starts if anywhere else []
         masks = {e[0] for e in nfa.edge if e}
         kinds: dict[tuple, int] = {}
         self.classes = np.array([kinds.setdefault(tuple(m >> b & 1 for m in sorted(masks)), len(kinds)) for b in range(256)], dtype=np.int32)
@@ -153,7 +170,7 @@ class Automaton:
             row = []
             edges = [e for s in states if (e := nfa.edge[s])]
             for b in sample:
-                to = nfa.closure([t for m, t in edges if m >> b & 1] + starts)
+                to = nfa.closure([t for m, t in edges if m >> b & 1] + again)
                 if to not in number:
                     number[to] = len(order)
                     order.append(to)
@@ -183,31 +200,49 @@ class Automaton:
         self.start = int(new[part[0]])
         # Entries are row starts, so a step is one addition and one look-up.
         self.table = (new[part[table[first][by_accept]]] * self.width).astype(np.int32).reshape(-1)
+        stuck = (self.table.reshape(n, -1) == (np.arange(n) * self.width)[:, None]).all(axis=1) & (self.rules == 0)
+        self.dead = int(np.argmax(stuck)) * self.width if stuck.any() else -1
+        self._lists = self.table.tolist(), self.classes.tolist()
+
+    def reach(self, data: bytes, at: int, stop: int, step: int = 1) -> int | None:
+        """Last byte, from `at` on towards `stop` (not included), on which a string that begins at `at` is accepted."""
+        table, kinds = self._lists
+        state, accept, dead, last = self.start * self.width, self.accepting * self.width, self.dead, None
+        for p in range(at, stop, step):
+            state = table[state + kinds[data[p]]]
+            if state >= accept:
+                last = p
+            elif state == dead:
+                break
+        return last
 
     def scan(self, raw: np.ndarray, starts: np.ndarray, ends: np.ndarray):
-        """Yield (text number, position of the last byte, rule mask) wherever a pattern ends; each byte is read once."""
+        """Yield (text number, position of the last byte, rule mask) wherever a pattern ends that did not end at the byte before; each byte is read once."""
         sizes = ends - starts
         order = np.argsort(-sizes, kind="stable")
         sizes, at = sizes[order], starts[order].copy()
-        kinds, table, accept = self.classes, self.table, self.accepting * self.width
-        state = np.full(len(order), self.start * self.width, np.int32)
+        kinds, table, width, rules = self.classes, self.table, self.width, self.rules.tolist()
+        accept = self.accepting * width
+        state = np.full(len(order), self.start * width, np.int32)
         live, step = int((sizes > 0).sum()), 0
         while live >= LOCKSTEP:
             now = table[state[:live] + kinds[raw[at[:live]]]]
-            state[:live] = now
             if (hit := now >= accept).any():
-                for i in np.nonzero(hit)[0]:
-                    yield int(order[i]), int(at[i]), int(self.rules[now[i] // self.width])
+                for i in np.nonzero(hit)[0].tolist():
+                    if new := rules[now[i] // width] & ~rules[state[i] // width]:
+                        yield int(order[i]), int(at[i]), new
+            state[:live] = now
             step += 1
             at[:live] += 1
             while live and sizes[live - 1] <= step:
                 live -= 1
         if live:
-            flat, width = table.tolist(), self.width
+            flat = self._lists[0]
             for i in range(live):
                 s, text = int(state[i]), int(order[i])
                 begin, end = int(at[i]), int(ends[text])
-                for p, k in enumerate(kinds[raw[begin:end]].tolist(), begin):
-                    s = flat[s + k]
-                    if s >= accept:
-                        yield text, p, int(self.rules[s // width])
+                for block in range(begin, end, BLOCK):
+                    for p, k in enumerate(kinds[raw[block : min(block + BLOCK, end)]].tolist(), block):
+                        before, s = s, flat[s + k]
+                        if s >= accept and (new := rules[s // width] & ~rules[before // width]):
+                            yield text, p, new

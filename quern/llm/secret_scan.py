@@ -1,8 +1,12 @@
 """Secret scans: all rules in one pass of a combined deterministic automaton.
 
-The automaton reports where some rule can end; the rule's own expression then
-fixes the exact span, from the start of that line or the end of the rule's last
-span. Spans are leftmost and non-overlapping per rule, in code points.
+The combined automaton reads every byte once and reports where a rule's sign
+ends: the least part of a match that tells the rule. From there the rule's
+backward automaton fixes the start and its forward automaton the longest end;
+no other matcher decides a span. Spans are leftmost and non-overlapping per
+rule, in code points. Signs need full counts neither in the combined automaton,
+which would then have to count several runs side by side, nor per byte: a run
+of bytes that all end a sign is one report.
 
 Edge cases: a null or empty text has no spans; long texts are scanned whole;
 repeated rows are scanned each; an empty table gives an empty result; other
@@ -11,15 +15,12 @@ columns pass through `redact` untouched.
 
 from __future__ import annotations
 
-import re
-from functools import lru_cache
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from .automaton import Automaton
-from .common import spread, utf8_buffers
+from .common import kept, spread, utf8_buffers
 
 
 def either_case(word: str) -> str:
@@ -28,16 +29,17 @@ def either_case(word: str) -> str:
 
 _KEYS = "|".join(either_case(w) for w in ("password", "passwd", "secret", "token", "api_?key"))
 
-# Kind, pattern for the automaton, exact pattern, group whose length counts, least length.
-# The automaton's pattern matches whenever the exact one does; no pattern crosses a line.
+_ASSIGN = rf"(?:{_KEYS})[\"']?\x20*[:=]\x20*[\"']?"
+# Kind, sign, whole match, whole match that counts (one that is found but does not count takes its place from others).
+# A sign is a beginning of every match that counts; of two signs of a rule the one that starts first ends first.
 RULES = [
-    ("assign", rf"(?:{_KEYS})[\"']?\x20*[:=]\x20*[\"']?[A-Za-z0-9+/_.=-]", rf"(?:{_KEYS})[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", 1, 8),
-    ("access", r"AKIA[A-Z0-9]{12}", r"AKIA[A-Z0-9]+", 0, 16),
-    ("hex", r"[0-9a-f]{32}", r"[0-9a-f]{32,}", 0, 32),
-    ("github", r"gh[pousr]_[A-Za-z0-9]{8}", r"gh[pousr]_[A-Za-z0-9]{36,}", 0, 40),
-    ("slack", r"xox[abprs]-[A-Za-z0-9-]{4}", r"xox[abprs]-[A-Za-z0-9-]{10,}", 0, 15),
-    ("google", r"AIza[A-Za-z0-9_-]{8}", r"AIza[A-Za-z0-9_-]{35}", 0, 39),
-    ("pem", r"-----BEGIN [A-Z ]*PRIVATE KEY-----", r"-----BEGIN [A-Z ]*PRIVATE KEY-----", 0, 1),
+    ("assign", rf"{_ASSIGN}[A-Za-z0-9+/_.=-]", rf"{_ASSIGN}[A-Za-z0-9+/_.=-]+", rf"{_ASSIGN}[A-Za-z0-9+/_.=-]{{8,}}"),
+    ("access", r"AKIA[A-Z0-9]{12}", r"AKIA[A-Z0-9]{12,}", None),
+    ("hex", r"[0-9a-f]{32}", r"[0-9a-f]{32,}", None),
+    ("github", r"gh[pousr]_[A-Za-z0-9]{8}", r"gh[pousr]_[A-Za-z0-9]{36,}", None),
+    ("slack", r"xox[abprs]-[A-Za-z0-9-]{4}", r"xox[abprs]-[A-Za-z0-9-]{10,}", None),
+    ("google", r"AIza[A-Za-z0-9_-]{8}", r"AIza[A-Za-z0-9_-]{35}", None),
+    ("pem", r"-----BEGIN [A-Z ]*PRIVATE KEY-----", r"-----BEGIN [A-Z ]*PRIVATE KEY-----", None),
 ]
 KINDS = [r[0] for r in RULES]
 BASE = KINDS[:3]
@@ -45,34 +47,32 @@ BASE = KINDS[:3]
 SIDE_BY_SIDE = 4000
 
 
-@lru_cache(maxsize=1)
-def _compiled():
-    return Automaton([r[1] for r in RULES]), [(re.compile(r[2].encode()), r[3], r[4]) for r in RULES]
+def _compile() -> tuple[Automaton, list[tuple[Automaton, Automaton, Automaton | None]]]:
+    """The combined automaton of all signs; per rule the backward one of its sign, and the forward ones of whole matches."""
+    one = lambda p, **how: Automaton([p], anywhere=False, **how)
+    return Automaton([r[1] for r in RULES]), [(one(sign, backward=True), one(whole), one(counted) if counted else None) for _, sign, whole, counted in RULES]
 
 
-def _resolve(data: bytes, hits: list[tuple[int, int]]) -> list[tuple[int, int, int]]:
+def _resolve(data: bytes, hits: list[tuple[int, int]], rules: list) -> list[tuple[int, int, int]]:
     """Sorted (start, rule, end) in bytes from the hits (position, rule mask) of one text, in order."""
-    exact, spans = _compiled()[1], []
-    done = [0] * len(exact)
-    for end, mask in hits:
-        for r, (pattern, group, least) in enumerate(exact):
-            if not mask >> r & 1 or end < done[r]:
+    spans, done = [], [0] * len(rules)
+    for last, mask in hits:
+        for r, (back, whole, counted) in enumerate(rules):
+            if not mask >> r & 1 or last < done[r]:
+                continue
+            start = back.reach(data, last, done[r] - 1, -1)
+            end = None if start is None else whole.reach(data, start, len(data))
+            if end is None:
                 continue
-            for m in pattern.finditer(data, max(data.rfind(b"\n", 0, end) + 1, done[r])):
-                if m.start() > end:
-                    done[r] = m.start()
-                    break
-                done[r] = m.end()
-                if m.end(group) - m.start(group) >= least:
-                    spans.append((m.start(), r, m.end()))
-            else:
-                done[r] = len(data) + 1
+            done[r] = end + 1
+            if counted is None or counted.reach(data, start, end + 1) == end:
+                spans.append((start, r, end + 1))
     return sorted(spans)
 
 
 def find_spans(column) -> dict[int, list[tuple[int, int, int]]]:
     """Byte spans (start, rule, end) by row number, for the rows of an Arrow string column that have any."""
-    automaton, _ = _compiled()
+    automaton, rules = kept(("secrets",), _compile)
     raw, starts, ends = utf8_buffers(column)
     found: dict[int, list] = {}
     for i in range(0, len(starts), SIDE_BY_SIDE):
@@ -80,7 +80,7 @@ def find_spans(column) -> dict[int, list[tuple[int, int, int]]]:
         for row, at, mask in automaton.scan(raw, starts[i : i + SIDE_BY_SIDE], ends[i : i + SIDE_BY_SIDE]):
             hits.setdefault(row + i, []).append((at - int(starts[row + i]), mask))
         for row, marks in hits.items():
-            if spans := _resolve(raw[starts[row] : ends[row]].tobytes(), marks):
+            if spans := _resolve(raw[starts[row] : ends[row]].tobytes(), marks, rules):
                 found[row] = spans
     return found
 

@@ -62,7 +62,29 @@ def test_automaton_is_minimal_and_right():
     assert len(a.rules) <= a.states_before
     raw = np.frombuffer(b"abbbc xz", np.uint8)
     hits = list(a.scan(raw, np.array([0]), np.array([8])))
-    assert [(p, m) for _, p, m in hits] == [(2, 2), (3, 2), (4, 1), (7, 4)]
+    # The third b ends bb as the second did: one report.
+    assert [(p, m) for _, p, m in hits] == [(2, 2), (4, 1), (7, 4)]
+    back = Automaton(["ab+c"], anywhere=False, backward=True)
+    assert back.reach(b"xaabbbc", 6, -1, -1) == 2 and back.reach(b"xaabbbc", 5, -1, -1) is None
+
+
+def test_all_rules_equal_their_expressions():
+    """Random strings that begin like secrets, against the rules as plain expressions."""
+    r = random.Random(7)
+    parts = ["ghp_", "gho_", "xoxb-", "AIza", "-----BEGIN ", "RSA ", "PRIVATE KEY-----", "AKIA", "token=", "secret: '", "abcdefgh", "ABCD1234", "0123456789abcdef", "-", "_", " ", "=", "\n"]
+    exact = [(r[2], re.compile(r[3] or r[2])) for r in S.RULES]
+    for _ in range(1500):
+        text = "".join(r.choice(parts) for _ in range(r.randint(1, 25)))
+        want = sorted((m.start(), k, m.end()) for k, (whole, counted) in enumerate(exact) for m in re.finditer(whole, text) if counted.fullmatch(m[0]))
+        assert S.find_spans(pa.array([text])).get(0, []) == want, text
+
+
+def test_a_run_is_one_hit():
+    text = "deadbeef" * 250_000
+    automaton = Automaton([rule[1] for rule in S.RULES])
+    raw = np.frombuffer(text.encode(), np.uint8)
+    assert list(automaton.scan(raw, np.array([0]), np.array([len(raw)]))) == [(0, 31, 1 << S.KINDS.index("hex"))]
+    assert S.find_spans(pa.array([text])) == {0: [(0, S.KINDS.index("hex"), len(text))]}
 
 
 def test_many_hits_without_a_match():
