@@ -1,31 +1,34 @@
 """Sharding: best-fit-decreasing packing of indivisible groups (equal texts).
 
-Groups are found by digest with map-side sums. A group larger than a small
-fraction of a shard is an item of its own (their number is bounded by that
-fraction); all smaller groups fall into hash bundles, again a bounded number
-of items. Items, largest first, enter the bin with the tightest remaining
-capacity, found in a balanced tree. The least capacity that needs no more than
-the wished number of bins is found by bisection.
+Groups are found by digest with map-side sums. Groups of one size are alike to
+the packing, so the driver gets the histogram of group sizes: n different sizes
+need a table of n * n / 2 bytes at least, so 10**5 of them 5 GB, and 10**7 of
+them 50 TB. Every group is packed by its own size, largest first, into the bin
+with the tightest remaining capacity, found in a balanced tree; a run of equal
+sizes enters a bin at once. The least capacity that needs no more than the
+wished number of bins is found by bisection. As the last bin filled is short,
+moves and exchanges of groups between the fullest bin and others then even the
+bins out. Tasks look the shard of a group up by (size, rank among that size).
 
 Edge cases: a null text counts as empty; repeated rows are members of one
 group and each gets its own slot; a group larger than a shard is never split
-and then sets the capacity; an empty table gives an empty result.
+and then sets the capacity; equal sizes are ranked by digest; an empty table
+gives an empty result; other columns of the input are not read.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import numpy as np
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import materialize, parts_for
+from .common import join_totals, materialize, parts_for
 
-#: Groups above 1 / FINE of a shard are packed one by one; there are fewer than FINE * n_shards of them.
-FINE = 1024
-#: Hash bundles of the smaller groups, for each shard.
-BUNDLES = 256
-#: Parts in which the slots of a shard are numbered, at least.
+#: Parts in which the slots of a shard, and the groups of a size, are numbered, at least.
 SLOT_PARTS = 64
+#: The capacity is found to this share of it.
+PRECISION = 1 / 100_000
 
 
 class CapacityTree:
@@ -74,32 +77,105 @@ class CapacityTree:
         return least[0]
 
 
-def best_fit_decreasing(items: list[tuple[int, str]], capacity: int) -> tuple[dict[str, int], int]:
-    """Bin of each item (size, name), and the number of bins. Larger items than the capacity get a bin alone."""
-    tree, where, bins = CapacityTree(), {}, 0
-    for size, name in sorted(items, key=lambda x: (-x[0], x[1])):
-        found = tree.take(size)
-        if found is None:
-            found, bins = (max(capacity, size), bins), bins + 1
-        room, where[name] = found
-        tree.add(room - size, where[name])
-    return where, bins
-
-
-def fewest_capacity(items: list[tuple[int, str]], n_bins: int) -> tuple[dict[str, int], int]:
+def best_fit_decreasing(sizes: list[tuple[int, int]], capacity: int) -> list[list[tuple[int, int]]]:
+    """Bins as lists of (size, count), from (size, count) in descending sizes. Larger items than the capacity get a bin alone."""
+    tree, bins = CapacityTree(), []
+    for size, count in sizes:
+        while count:
+            found = tree.take(size)
+            if found is None:
+                found = (max(capacity, size), len(bins))
+                bins.append([])
+            room, bin_id = found
+            n = min(count, room // size) if size else count
+            bins[bin_id].append((size, n))
+            tree.add(room - n * size, bin_id)
+            count -= n
+    return bins
+
+
+def fewest_capacity(sizes: list[tuple[int, int]], n_bins: int) -> tuple[list[list[tuple[int, int]]], int]:
     """Packing into at most n_bins with the least capacity that best-fit-decreasing reaches by bisection, and that capacity."""
-    total = sum(s for s, _ in items)
-    low = max([0, -(-total // n_bins), *(s for s, _ in items)])
-    high = max(low, 2 * low)
-    while best_fit_decreasing(items, high)[1] > n_bins:
-        high *= 2
-    while low < high:
+    total, largest = sum(s * n for s, n in sizes), max((s for s, _ in sizes), default=0)
+    low = max(largest, -(-total // n_bins))
+    # An item that fits nowhere finds every bin fuller than capacity - largest, so this much is always enough.
+    high = low + largest
+    best = best_fit_decreasing(sizes, high)
+    while high - low > low * PRECISION:
         mid = (low + high) // 2
-        if best_fit_decreasing(items, mid)[1] <= n_bins:
-            high = mid
+        packed = best_fit_decreasing(sizes, mid)
+        if len(packed) <= n_bins:
+            best, high = packed, mid
         else:
             low = mid + 1
-    return best_fit_decreasing(items, high)[0], high
+    return best, high
+
+
+def even_out(bins: list[list[tuple[int, int]]], n_bins: int) -> list[list[tuple[int, int]]]:
+    """The bins after moves and exchanges of single items that bring the fullest or the emptiest bin nearer to another one."""
+    sizes = np.array(sorted({s for b in bins for s, _ in b}), dtype=np.int64)
+    counts = np.zeros((n_bins, len(sizes)), np.int64)
+    for b, content in enumerate(bins):
+        for s, n in content:
+            counts[b, np.searchsorted(sizes, s)] += n
+    load = counts @ sizes
+
+    def closer(a: int, b: int) -> bool:
+        """One move or exchange from the fuller bin a to b whose difference comes nearest to half of theirs."""
+        gap = int(load[a] - load[b])
+        mine = np.nonzero(counts[a])[0]
+        if gap <= 1 or not len(mine):
+            return False
+        yours = np.nonzero(counts[b])[0]
+        # Nothing in exchange is an item of size 0.
+        other, names = np.append(0, sizes[yours]), np.append(-1, yours)
+        want = np.searchsorted(other, sizes[mine] - gap / 2)
+        best = None
+        for at in (np.maximum(want - 1, 0), np.minimum(want, len(other) - 1)):
+            shift = sizes[mine] - other[at]
+            left = np.where((shift > 0) & (shift < gap), np.abs(gap - 2 * shift), gap)
+            k = int(left.argmin())
+            if left[k] < gap and (best is None or left[k] < best[0]):
+                best = (int(left[k]), int(mine[k]), int(names[at[k]]), int(shift[k]))
+        if best is None:
+            return False
+        _, x, y, shift = best
+        counts[a, x] -= 1
+        counts[b, x] += 1
+        if y >= 0:
+            counts[b, y] -= 1
+            counts[a, y] += 1
+        load[a] -= shift
+        load[b] += shift
+        return True
+
+    while len(sizes):
+        order = np.argsort(load, kind="stable").tolist()
+        if not any(closer(order[-1], b) for b in order[:-1]) and not any(closer(a, order[0]) for a in order[:0:-1]):
+            break
+    return [[(int(s), int(n)) for s, n in zip(sizes[::-1], row[::-1]) if n] for row in counts]
+
+
+def plan(histogram: dict[int, int], n_shards: int) -> list[tuple[int, int, int, int]]:
+    """Rows (size, first rank, last rank, shard) for the groups of each size."""
+    bins, _ = fewest_capacity(sorted(histogram.items(), reverse=True), n_shards)
+    used: dict[int, int] = {}
+    rows = []
+    for shard_id, content in enumerate(even_out(bins, n_shards)):
+        for size, n in content:
+            first = used.get(size, 0)
+            rows.append((size, first, first + n - 1, shard_id))
+            used[size] = first + n
+    return rows
+
+
+def _ranked(rows: DataFrame, key: str, order: list[str], rank: str, part: Column) -> DataFrame:
+    """The rows of a written table with their number among those of equal `key`, from 0, counted in parts."""
+    rows = rows.withColumn("_part", part)
+    counts = rows.groupBy(key, "_part").agg(F.count("*").alias("_n"))
+    starts = counts.select(key, "_part", (F.sum("_n").over(W.partitionBy(key).orderBy("_part")) - F.col("_n")).alias("_start"))
+    nth = F.row_number().over(W.partitionBy(key, "_part").orderBy(*order)) - 1
+    return rows.withColumn("_nth", nth).join(starts, [key, "_part"]).withColumn(rank, (F.col("_start") + F.col("_nth")).cast("long")).drop("_part", "_nth", "_start")
 
 
 def shard(docs: DataFrame, n_shards: int = 8, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
@@ -110,27 +186,17 @@ def shard(docs: DataFrame, n_shards: int = 8, text_col: str = "text", id_col: st
         F.col(f"`{id_col}`").alias("doc_id"),
         (F.octet_length(text) + 1).cast("long").alias("size"),
         F.crc32(text.cast("binary")).alias("text_crc32"),
-        F.sha2(text, 256).alias("_group"),
+        F.unhex(F.sha2(text, 256)).alias("_group"),
+        F.monotonically_increasing_id().alias("_row"),
     )
     rows = materialize(rows, "rows")
-    parts = parts_for(rows, SLOT_PARTS)
-    rows = rows.withColumn("_bundle", F.concat(F.lit("b"), F.pmod(F.xxhash64("_group"), F.lit(BUNDLES * n_shards)).cast("string")))
-    groups = materialize(rows.groupBy("_group", "_bundle").agg(F.sum("size").alias("_size")), "groups")
-    total = groups.agg(F.sum("_size")).first()[0] or 0
-    large = groups.where(F.col("_size") > total // (FINE * n_shards))
-    small = groups.where(F.col("_size") <= total // (FINE * n_shards)).groupBy("_bundle").agg(F.sum("_size").alias("_size"))
-    items = [(r["_size"], r["_group"]) for r in large.select("_group", "_size").collect()] + [(r["_size"], r["_bundle"]) for r in small.collect()]
-    where, _ = fewest_capacity(items, n_shards)
-    names = spark.createDataFrame(sorted(where.items()), "_item string, shard int")
-    own = names.where("_item not like 'b%' or length(_item) = 64")
-    # Both maps hold at most (FINE + BUNDLES) * n_shards rows, whatever the input.
-    mapped = (
-        rows.join(F.broadcast(own.select(F.col("_item").alias("_group"), F.col("shard").alias("_own"))), "_group", "left")
-        .join(F.broadcast(names.select(F.col("_item").alias("_bundle"), F.col("shard").alias("_shared"))), "_bundle", "left")
-        .select("doc_id", "size", "text_crc32", F.coalesce("_own", "_shared").alias("shard"), F.pmod(F.xxhash64("doc_id"), F.lit(parts)).alias("_part"))
-    )
-    mapped = materialize(mapped, "mapped")
-    counts = mapped.groupBy("shard", "_part").agg(F.count("*").alias("_n"))
-    starts = counts.select("shard", "_part", (F.sum("_n").over(W.partitionBy("shard").orderBy("_part")) - F.col("_n")).alias("_start"))
-    nth = F.row_number().over(W.partitionBy("shard", "_part").orderBy("doc_id", "size", "text_crc32")) - 1
-    return mapped.withColumn("_nth", nth).join(starts, ["shard", "_part"]).select("doc_id", "size", "text_crc32", "shard", (F.col("_start") + F.col("_nth")).cast("long").alias("slot"))
+    groups = materialize(rows.groupBy("_group").agg(F.sum("size").alias("_size")), "groups")
+    histogram = {r["_size"]: r["n"] for r in groups.groupBy("_size").agg(F.count("*").alias("n")).collect()}
+    places = spark.createDataFrame(plan(histogram, n_shards), "_size long, _first long, _last long, shard int")
+    ranked = _ranked(groups, "_size", ["_group"], "_rank", F.pmod(F.xxhash64("_group"), F.lit(parts_for(groups, SLOT_PARTS))))
+    inside = (F.col("_rank") >= F.col("_first")) & (F.col("_rank") <= F.col("_last"))
+    where = ranked.join(places.withColumnRenamed("_size", "_of"), (F.col("_size") == F.col("_of")) & inside).select("_group", "shard")
+    mapped = materialize(join_totals(rows, where, "_group").select("doc_id", "size", "text_crc32", "shard", "_row"), "mapped")
+    # The row number keeps many rows of one id, or of none, from being one part.
+    part = F.pmod(F.xxhash64("doc_id", "_row"), F.lit(parts_for(mapped, SLOT_PARTS)))
+    return _ranked(mapped, "shard", ["doc_id", "size", "text_crc32", "_row"], "slot", part).select("doc_id", "size", "text_crc32", "shard", "slot")

@@ -1,28 +1,78 @@
+import random
 import zlib
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
+from quern.llm import queries
 from quern.llm import sharding as S
 
 
-@given(st.lists(st.integers(1, 60), max_size=60), st.integers(1, 80))
-@settings(max_examples=80, deadline=None)
-def test_packing_is_best_fit_decreasing(sizes, capacity):
-    items = [(s, str(i)) for i, s in enumerate(sizes)]
-    where, bins = S.best_fit_decreasing(items, capacity)
-    rooms, want = [], {}
-    for s, n in sorted(items, key=lambda x: (-x[0], x[1])):
+def slow_packing(sizes, capacity):
+    """Item by item, by looking at all bins."""
+    rooms, content = [], []
+    for s in sorted(sizes, reverse=True):
         fits = [(room, b) for b, room in enumerate(rooms) if room >= s]
         if fits:
             b = min(fits)[1]
         else:
             rooms.append(max(capacity, s))
+            content.append([])
             b = len(rooms) - 1
         rooms[b] -= s
-        want[n] = b
-    assert (where, bins) == (want, len(rooms))
+        content[b].append(s)
+    return content
+
+
+def runs(sizes):
+    return sorted(Counter(sizes).items(), reverse=True)
+
+
+def spread_out(bins):
+    return [sorted(s for s, n in b for _ in range(n)) for b in bins]
+
+
+@given(st.lists(st.integers(1, 60), max_size=60), st.integers(1, 80))
+@settings(max_examples=80, deadline=None)
+def test_packing_is_best_fit_decreasing(sizes, capacity):
+    assert spread_out(S.best_fit_decreasing(runs(sizes), capacity)) == [sorted(b) for b in slow_packing(sizes, capacity)]
+
+
+@given(st.lists(st.integers(1, 90), min_size=1, max_size=50), st.integers(1, 9))
+@settings(max_examples=80, deadline=None)
+def test_bins_are_even(sizes, n):
+    bins, capacity = S.fewest_capacity(runs(sizes), n)
+    assert len(bins) <= n and capacity <= max(max(sizes), -(-sum(sizes) // n)) + max(sizes)
+    before = sorted([sum(s * k for s, k in b) for b in bins] + [0] * (n - len(bins)))
+    even = spread_out(S.even_out(bins, n))
+    assert sorted(x for b in even for x in b) == sorted(sizes)
+    load = [sum(b) for b in even]
+    assert max(load) <= before[-1] and min(load) >= before[0]
+    # No move and no exchange between the fullest bin and another, or the emptiest and another, brings them nearer.
+    order = sorted(range(n), key=lambda b: load[b])
+    for x, y in [(order[-1], b) for b in order[:-1]] + [(a, order[0]) for a in order[1:]]:
+        gap = load[x] - load[y]
+        assert not any(0 < s - t < gap for s in even[x] for t in [0, *even[y]])
+
+
+def test_query_equals_the_packing_item_by_item(spark, tmp_path):
+    r = random.Random(3)
+    texts = ["".join(r.choice("abcé ") for _ in range(r.choice([0, 5, 20, 20, 90, 400]))) for _ in range(260)]
+    texts += texts[:40] * 3 + [None]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3).write.parquet(str(tmp_path / "documents.parquet"))
+    out = queries.op7_sharding(spark, str(tmp_path)).collect()
+    groups, home = defaultdict(int), {}
+    for row in out:
+        t = texts[row["doc_id"]] or ""
+        assert row["size"] == len(t.encode()) + 1 and home.setdefault(t, row["shard"]) == row["shard"]
+        groups[t] += row["size"]
+    _, capacity = S.fewest_capacity(runs(groups.values()), 8)
+    want = S.even_out([runs(b) for b in slow_packing(groups.values(), capacity)], 8)
+    got = [sorted(size for t, size in groups.items() if home[t] == b) for b in range(8)]
+    assert got == spread_out(want) and len(out) == len(texts)
+    load = [sum(b) for b in got]
+    assert max(load) - min(load) <= 1
 
 
 def test_shards_are_even_whole_and_gapless(spark):
@@ -48,3 +98,16 @@ def test_repeated_rows_a_huge_group_and_empty(spark):
     assert len(out) == 6 and len({r["shard"] for r in out if r["doc_id"] == 1}) == 1
     assert sorted(r["slot"] for r in out if r["doc_id"] == 1)[:5] == [0, 1, 2, 3, 4]
     assert S.shard(df.limit(0)).count() == 0
+
+
+def test_short_documents_and_null_ids(spark):
+    df = spark.createDataFrame([(i, f"text {i:02d}" + "y" * (i % 3)) for i in range(30)], "doc_id long, text string")
+    load = Counter()
+    for r in S.shard(df).collect():
+        load[r["shard"]] += r["size"]
+    assert len(load) == 8 and max(load.values()) - min(load.values()) <= 12
+    many = spark.createDataFrame([(None, str(i % 7)) for i in range(3000)], "doc_id long, text string").repartition(3)
+    by = defaultdict(list)
+    for r in S.shard(many).collect():
+        by[r["shard"]].append(r["slot"])
+    assert all(sorted(v) == list(range(len(v))) for v in by.values()) and sum(map(len, by.values())) == 3000
