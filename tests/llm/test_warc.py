@@ -1,5 +1,7 @@
 import gzip
 import hashlib
+import random
+from pathlib import Path
 
 from quern.llm import warc as A
 from quern.llm.common import fresh_path
@@ -14,7 +16,7 @@ def records(n):
 
 
 def ids(data):
-    return [(x[3]["warc-record-id"].rsplit(":", 1)[1].rstrip(">") if x[0] == "record" else "gap") for x in A.salvage(data)]
+    return [(x[5]["warc-record-id"].rsplit(":", 1)[1].rstrip(">") if x[0] == "record" else "gap") for x in A.salvage(data)]
 
 
 def test_round_trip_by_query(spark):
@@ -50,7 +52,8 @@ def test_salvage_after_damage_in_members():
     bad[len(bad) // 2] ^= 0xFF
     cut = parts[4][:-5]
     data = b"".join([parts[0], parts[1], bytes(bad), parts[3], cut, parts[5], b"tail junk"])
-    assert ids(data) == ["0", "1", "gap", "3", "gap", "5", "gap"]
+    # The cut member lacks its checksum only: its record agrees with its digests and is kept.
+    assert ids(data) == ["0", "1", "gap", "3", "4", "gap", "5", "gap"]
     gaps = [(x[1], x[2]) for x in A.salvage(data) if x[0] == "gap"]
     at = len(parts[0]) + len(parts[1])
     assert gaps[0] == (at, at + len(bad)) and gaps[-1] == (len(data) - 9, len(data))
@@ -65,6 +68,49 @@ def test_salvage_of_plain_records():
     assert ids(r[0] + A.gzip_member(r[1]) + r[2]) == ["0", "1", "2"]
 
 
+def test_salvage_inside_a_member():
+    r = records(5)
+    false = r[2].replace(b"</html>", b"</hXml>")
+    data = A.gzip_member(b"".join([r[0], r[1], false, r[3], r[4]]))
+    assert ids(data) == ["0", "1", "gap", "3", "4"]
+    inner = [(x[3], x[4]) for x in A.salvage(data) if x[0] == "gap"]
+    assert inner == [(len(r[0]) + len(r[1]), len(r[0]) + len(r[1]) + len(false))]
+    # A stream that breaks off keeps what came before; a record without a digest is kept from whole members only.
+    long = A.gzip_member(b"".join(records(30)))
+    assert ids(long[: len(long) * 2 // 3])[:5] == ["0", "1", "2", "3", "4"] and ids(long[: len(long) * 2 // 3])[-1] == "gap"
+    bare = b"WARC/1.1\r\nWARC-Type: resource\r\nWARC-Record-ID: <urn:x:7>\r\nContent-Length: 3\r\n\r\nabc\r\n\r\n"
+    assert ids(A.gzip_member(bare)) == ["7"] and ids(A.gzip_member(bare)[:-4]) == ["gap"]
+
+
+def test_damage_is_read_in_linear_time():
+    marks = (A.MEMBER + A.VERSION + b"x") * 60_000
+    assert ids(marks + records(1)[0]) == ["gap", "0"]
+
+
+def test_bytes_of_an_archive(spark, monkeypatch):
+    """Spark puts the members down as they are: no byte is re-encoded, and the files are bounded."""
+    monkeypatch.setattr(A, "RUN_BYTES", 2000)
+    monkeypatch.setattr(A, "FILE_RUNS", 3)
+    r = random.Random(2)
+    rows = [(i, None, "".join(chr(r.choice([65, 233, 0x4E2D, 0x1F600, 10, 13])) for _ in range(900))) for i in range(60)] + [(99, "u", "z" * 3_000_000)]
+    path = fresh_path(spark, "archives")
+    A.write_archives(spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1), path)
+    files = [f.read_bytes() for f in Path(path.removeprefix("file://")).glob("part-*")]
+    assert len(files) > 5 and max(map(len, files)) < 30_000
+    content = b"".join(gzip.decompress(f) for f in files)
+    want = [A.format_record(i, u, h.encode(), hashlib.sha256(h.encode()).hexdigest(), None) for i, u, h in rows]
+    assert len(content) == sum(map(len, want)) and all(w in content for w in want[:20])
+    big = A.read_archives(spark, path).where(f"record_id = '{A.ID_URI}99'").first()
+    assert big["payload_bytes"] == 3_000_000 and bytes(big["payload"]) == b"z" * 3_000_000
+
+
+def test_ties_of_null_ids(spark):
+    rows = [(None, None, "w" * 150, 1), (None, None, "w" * 150, 1)]
+    path = fresh_path(spark, "archives")
+    A.write_archives(spark.createDataFrame(rows, "page_id long, url string, html string, digest int"), path)
+    assert [r["record_type"] for r in A.page_records(A.read_archives(spark, path)).collect()] == ["response"] * 2
+
+
 def test_damaged_file_in_spark(spark, tmp_path):
     parts = [A.gzip_member(r) for r in records(3)]
     (tmp_path / "a.warc.gz").write_bytes(parts[0] + b"\x00" * 33 + parts[1])
