@@ -2,7 +2,14 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last
 return the columns of documents. Between stages the documents are written as
-Parquet and read again.
+Parquet and read again, so each stage reads a table that does not change.
+
+Edge cases: a null or empty text and one of under 50 words go in the quality
+stage; very long texts are judged, compared, scanned and cut whole; of
+near-duplicates, repeated rows and equal ids one row stays, by least id, then
+least text hash, then the row's place in the table; null ids come last; a null
+source is a source of its own; an empty table runs through to an empty result;
+other columns, whatever their names, are kept up to packing.
 """
 
 from __future__ import annotations
@@ -11,8 +18,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm import best_fit_packing, host_quality, jaccard_dedup, secret_scan, source_mixing
-from quern.llm.common import materialize, table
+from quern.llm import best_fit_packing, host_quality, secret_scan, simhash_dedup, source_mixing
+from quern.llm.common import free_name, materialize, table
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -21,13 +28,17 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The row of least id of each group of five-word Jaccard 0.8 or more (null ids last, then by text hash); of rows that repeat id and text, one."""
-    own = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.xxhash64("text").alias("text"))
-    groups = jaccard_dedup.near_duplicate_components(docs.select(own.alias("doc_id"), "text"))
-    first = groups.where("doc_id = component_id")
-    keepers = first.groupBy(F.col("doc_id.id").alias("_id"), F.col("doc_id.text").alias("_hash")).agg(F.count("*").alias("_n"))
-    joined = docs.join(keepers, docs["doc_id"].eqNullSafe(keepers["_id"]) & (F.xxhash64(docs["text"]) == keepers["_hash"]))
-    return joined.where("_n = 1").unionAll(joined.where("_n > 1").dropDuplicates(["doc_id", "text"])).select(*docs.columns)
+    """One row of each group of five-word Jaccard 0.8 or more, that of least id.
+
+    Rows are named by (id, text hash, number in the table), and only names are
+    shuffled: the numbers of the rows that go are taken out of the table.
+    """
+    number = free_name(docs, "_number")
+    numbered = docs.withColumn(number, F.monotonically_increasing_id())
+    name = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.xxhash64("text").alias("text"), F.col(number).alias("number"))
+    groups = simhash_dedup.near_duplicates(numbered.select(name.alias("name"), "text"), id_col="name")
+    gone = groups.where("doc_id <> component_id").select(F.col("doc_id.number").alias(number))
+    return numbered.join(gone, number, "left_anti").select(*(F.col(f"`{c}`") for c in docs.columns))
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
