@@ -1,11 +1,11 @@
-"""Near-duplicates by exact Jaccard similarity of word shingles, found by a prefix join.
+"""Exact Jaccard similarity of word shingles for SimHash near-dedup: the check of its links, and the pairs beyond its reach.
 
 Two texts are linked where |A & B| / |A | B| of their shingle sets is at least
 the similarity. In one common order of all shingles, two sets of similarity t
 share one of the first n - ceil(t n) + 1 of each, so the pairs that share one
-there hold every link. SimHash anchors do not: pairs of similarity 0.8 differ in
-some 10 of 64 bits. The order puts shingles that are frequent in a bounded
-sample last; any order is right, this one keeps the groups of a shingle small.
+there hold every link; those that are in one component already are left out.
+The order puts shingles that are frequent in a bounded sample last; any order
+is right, this one keeps the groups of a shingle small.
 
 Candidates are dropped where counts of shingles by bucket already show too
 small an overlap; the rest is verified on the whole sets. A shingle with at
@@ -27,12 +27,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, spread
+from .common import join_totals, materialize, spread
 from .components import connected_components
-from .simhash_dedup import shingle_hashes
+from .shingles import shingle_hashes, simhash
 
-SHINGLE = 5
-SIMILARITY = 0.8
 #: Texts that the order of shingles is estimated on, about, and frequent shingles that are kept of them at most.
 SAMPLE, FREQUENT = 4000, 100_000
 #: Texts of a shingle up to which all their pairs are candidates at once.
@@ -43,7 +41,7 @@ BUCKETS = 256
 ROUNDS = 2
 
 
-def shingle_set(text: str | None, shingle: int = SHINGLE) -> np.ndarray:
+def shingle_set(text: str | None, shingle: int) -> np.ndarray:
     return np.unique(shingle_hashes(text, shingle))
 
 
@@ -69,9 +67,11 @@ def _frequent(rows: DataFrame, shingle: int) -> tuple[np.ndarray, np.ndarray]:
 def _prints(batches, shingle: int, share: Fraction, frequent: tuple[np.ndarray, np.ndarray]):
     known, often = frequent
     for b in batches:
-        sizes, prefixes, counts = [], [], []
+        sizes, prefixes, counts, prints = [], [], [], []
         for text in b.column(1).to_pylist():
-            s = shingle_set(text, shingle).view(np.int64)
+            hashes = shingle_hashes(text, shingle)
+            prints.append(simhash(hashes))
+            s = np.unique(hashes).view(np.int64)
             sizes.append(len(s))
             n = np.zeros(len(s), np.int64)
             if len(known):
@@ -80,7 +80,8 @@ def _prints(batches, shingle: int, share: Fraction, frequent: tuple[np.ndarray,
             prefixes.append(s[np.lexsort((s, n))[: prefix_length(len(s), share)]] if len(s) else s)
             counts.append(np.minimum(np.bincount(s & BUCKETS - 1, minlength=BUCKETS), 255).astype(np.uint8).tobytes())
         yield pa.RecordBatch.from_arrays(
-            [b.column(0), pa.array(sizes, pa.int32()), pa.array(prefixes, pa.list_(pa.int64())), pa.array(counts, pa.binary())], names=["node", "n", "prefix", "counts"]
+            [b.column(0), pa.array(np.array(prints, np.uint64).view(np.int64)), pa.array(sizes, pa.int32()), pa.array(prefixes, pa.list_(pa.int64())), pa.array(counts, pa.binary())],
+            names=["node", "fp", "n", "prefix", "counts"],
         )
 
 
@@ -154,59 +155,74 @@ def _possible(batches, share: Fraction):
         yield b.select(["a", "b"]).filter(pa.array(most * share.denominator >= share.numerator * (na + nb - most), pa.bool_()))
 
 
-def verify(pairs: DataFrame, rows: DataFrame, prints: DataFrame, shingle: int, share: Fraction) -> DataFrame:
-    """The pairs (a, b) whose texts reach the similarity; rows has node and text."""
-    pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a < b").distinct()
-    side = lambda x, *columns: prints.select(F.col("node").alias(x), *(F.col(c).alias(f"{c}_{x}") for c in columns))
-    both = pairs.join(side("a", "n", "counts"), "a").join(side("b", "n", "counts"), "b").select("a", "b", "n_a", "n_b", "counts_a", "counts_b")
-    pairs = materialize(both.mapInArrow(lambda bs: _possible(bs, share), "a long, b long"), "pairs")
-    asked = pairs.select(F.col("a").alias("node")).unionAll(pairs.select(F.col("b").alias("node"))).distinct()
-    held = rows.join(asked, "node", "left_semi").select("node", "text").mapInArrow(lambda bs: _sets(bs, shingle), "node long, tokens array<long>")
-    sets = materialize(held.dropDuplicates(["node"]), "sets")
-    both = pairs.join(sets.select(F.col("node").alias("a"), F.col("tokens").alias("left")), "a").join(sets.select(F.col("node").alias("b"), F.col("tokens").alias("right")), "b")
-    return materialize(both.select("a", "b", "left", "right").mapInArrow(lambda bs: _verified(bs, share), "a long, b long"), "verified")
-
-
-def _settled(large: DataFrame, edges: DataFrame) -> DataFrame:
-    """Members of large groups with their component, without the groups that are in one component."""
-    roots = connected_components(edges)
-    named = large.select("token", "node", "n").join(roots, "node", "left").select("token", "node", "n", F.coalesce("root", "node").alias("root"))
-    unsettled = named.groupBy("token").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x < y").select("token")
-    return materialize(named.join(unsettled, "token", "left_semi"), "open")
-
-
-def near_duplicate_components(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", shingle: int = SHINGLE, similarity: float = SIMILARITY, group: int = GROUP) -> DataFrame:
-    """Rows (doc_id, component_id), one per row of the input; component_id is the least id that links reach."""
-    share = Fraction(str(similarity))
-    text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
-    rows = spread(docs.select(F.col(f"`{id_col}`").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("node")))
-    frequent = _frequent(rows, shingle)
-    every = rows.select("node", "text").mapInArrow(lambda bs: _prints(bs, shingle, share, frequent), "node long, n int, prefix array<long>, counts binary")
-    prints = materialize(every.dropDuplicates(["node"]), "prints")
-
-    blank = prints.where("n = 0")
-    blanks = blank.crossJoin(F.broadcast(blank.agg(F.min("node").alias("b")))).select(F.col("node").alias("a"), "b").where("a <> b")
-
-    tokens = prints.select(F.explode("prefix").alias("token"), "node", "n").repartition("token").sortWithinPartitions("token", "node")
-    joined = materialize(tokens.mapInArrow(lambda bs: _groups(bs, share, group), "a long, b long, n int, token long"), "joined")
-    edges = verify(joined.where("b is not null").select("a", "b"), rows, prints, shingle, share).unionAll(blanks)
-
-    alike = F.least(F.col("n"), F.col("m")) * share.denominator >= F.greatest(F.col("n"), F.col("m")) * share.numerator
-    large = joined.where("b is null").select("token", F.col("a").alias("node"), "n")
-    for r in range(ROUNDS + 1):
-        if r == 0 and large.isEmpty():
-            break
-        large = _settled(large, edges)
-        if large.isEmpty():
-            break
-        if r < ROUNDS:
-            first = large.groupBy("token").agg(F.min_by(F.struct("node", "n", "root"), F.xxhash64("node", F.lit(r))).alias("l"))
-            other = first.select("token", F.col("l.node").alias("b"), F.col("l.n").alias("m"), F.col("l.root").alias("other"))
-        else:
-            other = large.select("token", F.col("node").alias("b"), F.col("n").alias("m"), F.col("root").alias("other"))
-        met = large.join(other, "token").where((F.col("root") < F.col("other")) if r == ROUNDS else (F.col("root") != F.col("other")))
-        edges = edges.unionAll(verify(met.where(alike).select(F.col("node").alias("a"), "b"), rows, prints, shingle, share))
-    roots = connected_components(edges)
-    named = rows.select("doc_id", "node").join(roots, "node", "left").select("doc_id", F.coalesce("root", "node").alias("root"))
-    named = materialize(named, "named")
-    return named.join(named.groupBy("root").agg(F.min("doc_id").alias("component_id")), "root").select("doc_id", "component_id")
+class Overlap:
+    """Distinct texts of a table with their shingle statistics; `node` is a text's hash."""
+
+    def __init__(self, docs: DataFrame, text_col: str, id_col: str, shingle: int, similarity: float, group: int = GROUP) -> None:
+        self.shingle, self.share, self.group = shingle, Fraction(str(similarity)), group
+        text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
+        self.rows = spread(docs.select(F.col(f"`{id_col}`").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("node")))
+        share, frequent = self.share, _frequent(self.rows, shingle)
+        every = self.rows.select("node", "text").mapInArrow(lambda bs: _prints(bs, shingle, share, frequent), "node long, fp long, n int, prefix array<long>, counts binary")
+        self.prints = materialize(every.dropDuplicates(["node"]), "prints")
+        self.named = self.prints.withColumn("root", F.col("node"))
+
+    def verify(self, pairs: DataFrame) -> DataFrame:
+        """The pairs (a, b) that are not in one component of `named` and whose texts reach the similarity."""
+        shingle, share = self.shingle, self.share
+        pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a < b").distinct()
+        side = lambda x, *columns: self.named.select(F.col("node").alias(x), *(F.col(c).alias(f"{c}_{x}") for c in columns))
+        held = ("n", "counts", "root")
+        both = pairs.join(side("a", *held), "a").join(side("b", *held), "b").where("root_a <> root_b").select("a", "b", "n_a", "n_b", "counts_a", "counts_b")
+        pairs = materialize(both.mapInArrow(lambda bs: _possible(bs, share), "a long, b long"), "pairs")
+        asked = pairs.select(F.col("a").alias("node")).unionAll(pairs.select(F.col("b").alias("node"))).distinct()
+        found = self.rows.select("node", "text").join(asked, "node", "left_semi").mapInArrow(lambda bs: _sets(bs, shingle), "node long, tokens array<long>")
+        sets = materialize(found.dropDuplicates(["node"]), "sets")
+        both = pairs.join(sets.select(F.col("node").alias("a"), F.col("tokens").alias("left")), "a").join(sets.select(F.col("node").alias("b"), F.col("tokens").alias("right")), "b")
+        return materialize(both.select("a", "b", "left", "right").mapInArrow(lambda bs: _verified(bs, share), "a long, b long"), "verified")
+
+    def settle(self, edges: DataFrame) -> None:
+        """Name each text's component by the links so far."""
+        roots = connected_components(edges)
+        named = self.prints.select("node", "n", "counts").join(roots, "node", "left")
+        self.named = materialize(named.select("node", "n", "counts", F.coalesce("root", "node").alias("root")), "named")
+
+    def _open(self, large: DataFrame) -> DataFrame:
+        """Members of large groups with their component, without the groups that are in one component."""
+        named = large.select("token", "node", "n").join(self.named.select("node", "root"), "node")
+        unsettled = named.groupBy("token").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x < y").select("token")
+        return materialize(join_totals(named, unsettled, "token", "left_semi"), "open")
+
+    def components(self, edges: DataFrame) -> DataFrame:
+        """Rows (doc_id, component_id), one per row of the table, by all links; `edges` (a, b) are verified links known before."""
+        share, group = self.share, self.group
+        blank = self.prints.where("n = 0")
+        blanks = blank.crossJoin(F.broadcast(blank.agg(F.min("node").alias("b")))).select(F.col("node").alias("a"), "b").where("a <> b")
+        edges = edges.unionAll(blanks)
+        self.settle(edges)
+
+        tokens = self.prints.select(F.explode("prefix").alias("token"), "node", "n").repartition("token").sortWithinPartitions("token", "node")
+        joined = materialize(tokens.mapInArrow(lambda bs: _groups(bs, share, group), "a long, b long, n int, token long"), "joined")
+        edges = edges.unionAll(self.verify(joined.where("b is not null").select("a", "b")))
+
+        alike = F.least(F.col("n"), F.col("m")) * share.denominator >= F.greatest(F.col("n"), F.col("m")) * share.numerator
+        large = joined.where("b is null").select("token", F.col("a").alias("node"), "n")
+        for r in range(ROUNDS + 1):
+            if r == 0 and large.isEmpty():
+                break
+            self.settle(edges)
+            large = self._open(large)
+            if large.isEmpty():
+                break
+            if r < ROUNDS:
+                first = large.groupBy("token").agg(F.min_by(F.struct("node", "n", "root"), F.xxhash64("node", F.lit(r))).alias("l"))
+                other = first.select("token", F.col("l.node").alias("b"), F.col("l.n").alias("m"), F.col("l.root").alias("other"))
+                met = join_totals(large, other, "token").where("root <> other")
+            else:
+                other = large.select("token", F.col("node").alias("b"), F.col("n").alias("m"), F.col("root").alias("other"))
+                met = large.join(other, "token").where("root < other")
+            edges = edges.unionAll(self.verify(met.where(alike).select(F.col("node").alias("a"), "b")))
+        roots = connected_components(edges)
+        out = self.rows.select("doc_id", "node").join(roots, "node", "left").select("doc_id", F.coalesce("root", "node").alias("root"))
+        out = materialize(out, "roots")
+        return join_totals(out, out.groupBy("root").agg(F.min("doc_id").alias("component_id")), "root").select("doc_id", "component_id")

@@ -13,70 +13,67 @@ all pairs. Equal fingerprints are one class from the start.
 Anchors with more than BLOCK fingerprints are dealt out as pairs of hash
 blocks, so no task gets an unbounded group.
 
+`near_duplicates` links by similarity instead of bits: texts whose five-word
+shingle sets have a Jaccard similarity of 0.8 or more. Links that the anchors
+find are checked exactly; then pairs beyond the anchors' reach (0.8 is some 10
+bits) follow from an exact join in `shingle_overlap`, which skips what the
+anchors have already put into one component.
+
+`reach=threshold` gives the plain covering, which needs no midpoint: one text's
+own anchor is among all anchors of the other. Both give the same links (tested).
+
 Edge cases: texts without words (null, empty, blank) have fingerprint zero and
 link like any other; a text with fewer words than a shingle is one shingle; a
 null doc_id is kept, and a component of null ids only has a null component_id;
-repeated rows are all returned; an empty table gives an empty result.
+repeated rows are all returned; very long texts are one fingerprint each; an
+empty table gives an empty result; other columns of the input are not read.
 """
 
 from __future__ import annotations
 
-from functools import lru_cache
-
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, spread
+from . import shingle_overlap
+from .common import join_totals, kept, materialize, spread
 from .components import connected_components
+from .shingles import shingle_hashes, simhash
 
 SHINGLE = 4
-SEED = 42
 THRESHOLD = 4
+#: Shingle length and similarity of `near_duplicates`.
+NEAR_SHINGLE, SIMILARITY = 5, 0.8
 BLOCKS, BLOCK_BITS = 4, 16
 #: Fingerprints of one anchor that are compared in one group at most (two blocks of them).
 BLOCK = 2048
 
 
-def shingle_hashes(text: str | None, shingle: int = SHINGLE) -> np.ndarray:
-    """64-bit hashes of the text's word shingles, in their order."""
-    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
-    if not words:
-        return np.zeros(0, "<u8")
-    if len(words) < shingle:
-        shingles = [b" ".join(words)]
-    else:
-        shingles = map(b" ".join, zip(*(words[i:] for i in range(shingle))))
-    digest = xxhash.xxh64_intdigest
-    return np.array([digest(s, SEED) for s in shingles], dtype="<u8")
-
-
 def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
     """Unsigned 64-bit SimHash of the text's word shingles."""
-    h = shingle_hashes(text, shingle)
-    if not len(h):
-        return 0
-    ones = np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(np.packbits(2 * ones > len(h), bitorder="little").view("<u8")[0])
+    return simhash(shingle_hashes(text, shingle))
 
 
-def _fingerprints(batches):
+def _fingerprints(batches, shingle: int):
     for b in batches:
-        fp = np.array([fingerprint(t) for t in b.column(1).to_pylist()], dtype=np.uint64).view(np.int64)
+        fp = np.array([fingerprint(t, shingle) for t in b.column(1).to_pylist()], dtype=np.uint64).view(np.int64)
         yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp)], names=["doc_id", "fp"])
 
 
-@lru_cache(maxsize=2)
-def reach_table(radius: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """For each 16-bit value the code words whose cell is within radius, as (starts, word numbers, distances)."""
+def code_words() -> np.ndarray:
+    """The first-order Reed-Muller code of length 16."""
     rows = [0xFFFF] + [sum(1 << j for j in range(BLOCK_BITS) if j >> i & 1) for i in range(4)]
     code = [0]
     for r in rows:
         code += [c ^ r for c in code]
+    return np.array(code, dtype=np.uint16)
+
+
+def reach_table(radius: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For each 16-bit value the code words whose cell is within radius, as (starts, word numbers, distances)."""
     values = np.arange(1 << BLOCK_BITS, dtype=np.uint16)
-    away = np.bitwise_count(values[:, None] ^ np.array(code, dtype=np.uint16)[None, :])
+    away = np.bitwise_count(values[:, None] ^ code_words()[None, :])
     cost = np.full(away.shape, radius + 1, dtype=np.uint8)
     cost[values, away.argmin(axis=1)] = 0
     for _ in range(radius):
@@ -91,7 +88,7 @@ def reach_table(radius: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 def anchors_of(fp: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
     """(index into fp, anchor) for every anchor whose cell is within radius of the fingerprint."""
-    starts, words, costs = reach_table(radius)
+    starts, words, costs = kept(("reach", radius), lambda: reach_table(radius))
     row, anchor, spent = np.arange(len(fp)), np.zeros(len(fp), np.int64), np.zeros(len(fp), np.int64)
     for k in range(BLOCKS):
         value = (fp.view(np.uint64) >> np.uint64(BLOCK_BITS * k) & np.uint64(0xFFFF)).astype(np.int64)[row]
@@ -184,9 +181,12 @@ def _numbered(keys: np.ndarray) -> np.ndarray:
     return np.concatenate([[0], np.cumsum((keys[1:] != keys[:-1]).any(axis=1))]) if len(keys) else np.zeros(0, np.int64)
 
 
-def links(classes: DataFrame, threshold: int = THRESHOLD, block: int = BLOCK) -> DataFrame:
-    """Edges (a, b) that span the links among distinct fingerprints (column fp)."""
-    radius = (threshold + 1) // 2
+def links(classes: DataFrame, threshold: int = THRESHOLD, block: int = BLOCK, reach: int | None = None) -> DataFrame:
+    """Edges (a, b) that span the links among distinct fingerprints (column fp).
+
+    reach: distance to a cell up to which a fingerprint goes to its anchor; by default half the threshold.
+    """
+    radius = (threshold + 1) // 2 if reach is None else reach
     replicas = materialize(classes.select("fp").mapInArrow(lambda bs: _replicas(bs, radius), "anchor int, fp long"), "replicas")
     crowded = replicas.groupBy("anchor").agg(F.count("*").alias("n")).where(F.col("n") > block).select("anchor", F.ceil(F.col("n") / block).cast("int").alias("parts"))
     dealt = replicas.join(crowded, "anchor", "left").withColumn("part", F.when(F.col("parts").isNotNull(), F.pmod(F.xxhash64("fp"), F.col("parts"))).otherwise(0).cast("int"))
@@ -196,15 +196,31 @@ def links(classes: DataFrame, threshold: int = THRESHOLD, block: int = BLOCK) ->
     return units.mapInArrow(lambda bs: _compare(bs, threshold), "a long, b long")
 
 
-def simhash_components(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", threshold: int = THRESHOLD, block: int = BLOCK) -> DataFrame:
+def simhash_components(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", threshold: int = THRESHOLD, block: int = BLOCK, shingle: int = SHINGLE, reach: int | None = None) -> DataFrame:
     """Rows (doc_id, fp, component_id), one per row of the input; fp is the fingerprint as a signed long."""
     dtype = dict(docs.dtypes)[id_col]
     rows = spread(docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`")))
-    prints = materialize(rows.mapInArrow(_fingerprints, f"doc_id {dtype}, fp long"), "prints")
+    prints = materialize(rows.mapInArrow(lambda bs: _fingerprints(bs, shingle), f"doc_id {dtype}, fp long"), "prints")
     classes = prints.groupBy("fp").agg(F.min("doc_id").alias("least"))
-    roots = connected_components(links(classes, threshold, block))
+    roots = connected_components(links(classes, threshold, block, reach))
     named = classes.join(roots, classes["fp"] == roots["node"], "left").select("fp", F.coalesce("root", "fp").alias("root"), "least")
     named = materialize(named, "named")
-    groups = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    ids = named.join(groups, "root").select("fp", "component_id")
-    return prints.join(ids, "fp").select("doc_id", "fp", "component_id")
+    ids = join_totals(named, named.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("fp", "component_id")
+    return join_totals(prints, ids, "fp").select("doc_id", "fp", "component_id")
+
+
+def near_duplicates(
+    docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", shingle: int = NEAR_SHINGLE, similarity: float = SIMILARITY,
+    threshold: int = THRESHOLD, block: int = BLOCK, group: int = shingle_overlap.GROUP,
+) -> DataFrame:
+    """Rows (doc_id, component_id), one per row of the input; component_id is the least id that links of the similarity reach.
+
+    doc_id may be any orderable value, also a struct that names a row exactly.
+    """
+    overlap = shingle_overlap.Overlap(docs, text_col, id_col, shingle, similarity, group)
+    classes = overlap.prints.groupBy("fp").agg(F.min("node").alias("first"))
+    met = links(classes, threshold, block)
+    side = lambda x: classes.select(F.col("fp").alias(x), F.col("first").alias(f"{x}_node"))
+    between = met.join(side("a"), "a").join(side("b"), "b").select(F.col("a_node").alias("a"), F.col("b_node").alias("b"))
+    within = join_totals(overlap.prints.select("fp", "node"), classes, "fp").where("node <> first").select(F.col("node").alias("a"), F.col("first").alias("b"))
+    return overlap.components(overlap.verify(between.unionAll(within)))

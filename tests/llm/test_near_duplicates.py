@@ -1,8 +1,7 @@
 import random
 
 import corpus_pipeline as P
-from quern.llm import jaccard_dedup as J
-from quern.llm import simhash_dedup
+from quern.llm import shingle_overlap, simhash_dedup
 
 
 def jaccard(a, b, k=5):
@@ -43,8 +42,8 @@ def test_components_equal_brute_force(spark):
     far = [(a, b) for (a, t) in rows for (b, u) in rows if a < b and jaccard(t, u) >= 0.8 and (simhash_dedup.fingerprint(t) ^ simhash_dedup.fingerprint(u)).bit_count() > simhash_dedup.THRESHOLD]
     assert len(far) > 10 and len(set(want.values())) > 45
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
-    for group in (J.GROUP, 1):
-        assert {r["doc_id"]: r["component_id"] for r in J.near_duplicate_components(df, group=group).collect()} == want
+    for group in (shingle_overlap.GROUP, 1):
+        assert {r["doc_id"]: r["component_id"] for r in simhash_dedup.near_duplicates(df, group=group).collect()} == want
 
 
 def test_stage_removes_near_copies(spark):
@@ -55,6 +54,6 @@ def test_stage_removes_near_copies(spark):
 
 def test_texts_without_words_and_empty_table(spark):
     df = spark.createDataFrame([(3, None), (2, ""), (1, " \n"), (5, "one two"), (4, "One  two"), (6, "one")], "doc_id long, text string")
-    got = {r["doc_id"]: r["component_id"] for r in J.near_duplicate_components(df).collect()}
+    got = {r["doc_id"]: r["component_id"] for r in simhash_dedup.near_duplicates(df).collect()}
     assert got == {3: 1, 2: 1, 1: 1, 5: 4, 4: 4, 6: 6}
-    assert J.near_duplicate_components(df.limit(0)).count() == 0
+    assert simhash_dedup.near_duplicates(df.limit(0)).count() == 0

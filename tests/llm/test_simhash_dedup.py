@@ -66,11 +66,19 @@ def test_components_equal_brute_force(spark):
     for d, f in prints.items():
         least[roots[f]] = min(d, least.get(roots[f], d))
     want = {d: (f, least[roots[f]]) for d, f in prints.items()}
-    for block in (S.BLOCK, 2):
-        out = S.simhash_components(df, block=block).collect()
+    for block, reach in ((S.BLOCK, None), (2, None), (S.BLOCK, S.THRESHOLD)):
+        out = S.simhash_components(df, block=block, reach=reach).collect()
         assert {x["doc_id"]: (x["fp"] % (1 << 64), x["component_id"]) for x in out} == want and len(out) == len(rows)
 
 
+def test_long_texts_ties_and_clashing_columns(spark):
+    long = "word " * 60_000 + "tail"
+    rows = [(4, long, 1, 2), (2, long, 1, 2), (9, "a b c d e f", 3, 4)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, fp long, component_id int")
+    out = {x["doc_id"]: (x["fp"] % (1 << 64), x["component_id"]) for x in S.simhash_components(df).collect()}
+    assert out == {4: (S.fingerprint(long), 2), 2: (S.fingerprint(long), 2), 9: (S.fingerprint("a b c d e f"), 9)}
+
+
 def test_null_ids_and_empty(spark):
     df = spark.createDataFrame([(None, "a b c d e"), (7, "a b c d e"), (7, "a b c d e"), (None, "z")], "doc_id long, text string")
     out = S.simhash_components(df).collect()
