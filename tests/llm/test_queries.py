@@ -57,7 +57,7 @@ def test_equals_sql(spark, sf, name):
 
 def test_licenses(spark, sf):
     got = {r["doc_id"]: r["license"] for r in rows_of(spark, sf, "op3_license_scan")}
-    assert got == {d: next((m[0] for m in license_scan.match_text(t)), None) for d, (t, _) in sf[1].items()} and got[202] == "MIT"
+    assert got == {d: next((m[0] for m in license_scan.Matcher(license_scan.TEMPLATES).licenses(t)), None) for d, (t, _) in sf[1].items()} and got[202] == "MIT"
 
 
 def test_simhash(spark, sf):
