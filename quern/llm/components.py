@@ -6,6 +6,7 @@ found with map-side minima, and the join back to its edges splits hot keys.
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -54,3 +55,19 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         raise RuntimeError("components did not settle")
     roots = now.select(F.col("lo").alias("node"), F.col("lo").alias("root")).distinct()
     return now.select(F.col("hi").alias("node"), F.col("lo").alias("root")).unionAll(roots)
+
+
+def hook(roots: np.ndarray, u: np.ndarray, v: np.ndarray) -> None:
+    """Merge the components of the pairs (u, v) in `roots`, which maps each node to its root."""
+    while True:
+        a, b = roots[u], roots[v]
+        differ = a != b
+        if not differ.any():
+            return
+        u, v, a, b = u[differ], v[differ], a[differ], b[differ]
+        np.minimum.at(roots, np.maximum(a, b), np.minimum(a, b))
+        while True:
+            up = roots[roots]
+            if (up == roots).all():
+                break
+            roots[:] = up

@@ -32,8 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import materialize
-from .components import connected_components
-from .simhash_dedup import hook
+from .components import connected_components, hook
 
 THRESHOLD = 0.93
 #: Vectors that codebooks and radius are fitted on, at most.

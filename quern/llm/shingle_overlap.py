@@ -3,15 +3,19 @@
 Two texts are linked where |A & B| / |A | B| of their shingle sets is at least
 the similarity. In one common order of all shingles, two sets of similarity t
 share one of the first n - ceil(t n) + 1 of each, so the pairs that share one
-there hold every link; those that are in one component already are left out.
-The order puts shingles that are frequent in a bounded sample last; any order
-is right, this one keeps the groups of a shingle small.
-
-Candidates are dropped where counts of shingles by bucket already show too
-small an overlap; the rest is verified on the whole sets. A shingle with at
-most GROUP texts yields all its pairs. One with more first yields the pairs
-with a leader, ROUNDS times; after that the pairs of texts that are still in
-different components are compared one by one, so nothing is capped or sampled.
+there hold every link. The order puts shingles that are frequent in a bounded
+sample last; any order is right, this one keeps the groups of a shingle small.
+
+A pair that shares a rare shingle is a candidate if its sizes allow the
+similarity, if it is not in one component already, and if its fingerprints
+differ in at most FAR bits: at similarity 0.8 a bit differs with probability
+0.15, so more than 26 of 64 have one of below 1e-6. Sets of fewer than FEW
+shingles, whose fingerprints are coarser, pass without that test. Candidates
+are verified on the whole sets, a spanning forest of them first, and then the
+pairs that it has left in different components. A shingle with at most GROUP
+texts yields all its pairs. One with more first yields the pairs with a leader,
+ROUNDS times; after that the pairs of texts that are still in different
+components are compared one by one, so nothing is capped or sampled.
 
 Edge cases: texts without words (null, empty, blank) are one class with each
 other; a text with fewer words than a shingle is one shingle; texts of equal
@@ -28,15 +32,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import join_totals, materialize, spread
-from .components import connected_components
+from .components import connected_components, hook
 from .shingles import shingle_hashes, simhash
 
 #: Texts that the order of shingles is estimated on, about, and frequent shingles that are kept of them at most.
 SAMPLE, FREQUENT = 4000, 100_000
 #: Texts of a shingle up to which all their pairs are candidates at once.
 GROUP = 16
-#: Buckets that a set's shingles are counted in.
-BUCKETS = 256
+#: Fingerprint bits in which a candidate differs at most, and the size from which sets are tested so.
+FAR, FEW = 26, 32
 #: Passes over larger groups by a leader before the rest is compared one by one.
 ROUNDS = 2
 
@@ -67,7 +71,7 @@ def _frequent(rows: DataFrame, shingle: int) -> tuple[np.ndarray, np.ndarray]:
 def _prints(batches, shingle: int, share: Fraction, frequent: tuple[np.ndarray, np.ndarray]):
     known, often = frequent
     for b in batches:
-        sizes, prefixes, counts, prints = [], [], [], []
+        sizes, prefixes, prints = [], [], []
         for text in b.column(1).to_pylist():
             hashes = shingle_hashes(text, shingle)
             prints.append(simhash(hashes))
@@ -78,48 +82,57 @@ def _prints(batches, shingle: int, share: Fraction, frequent: tuple[np.ndarray,
                 at = np.minimum(np.searchsorted(known, s), len(known) - 1)
                 n = np.where(known[at] == s, often[at], 0)
             prefixes.append(s[np.lexsort((s, n))[: prefix_length(len(s), share)]] if len(s) else s)
-            counts.append(np.minimum(np.bincount(s & BUCKETS - 1, minlength=BUCKETS), 255).astype(np.uint8).tobytes())
         yield pa.RecordBatch.from_arrays(
-            [b.column(0), pa.array(np.array(prints, np.uint64).view(np.int64)), pa.array(sizes, pa.int32()), pa.array(prefixes, pa.list_(pa.int64())), pa.array(counts, pa.binary())],
-            names=["node", "fp", "n", "prefix", "counts"],
+            [b.column(0), pa.array(np.array(prints, np.uint64).view(np.int64)), pa.array(sizes, pa.int32()), pa.array(prefixes, pa.list_(pa.int64()))],
+            names=["node", "fp", "n", "prefix"],
         )
 
 
 def _groups(batches, share: Fraction, group: int):
-    """Rows come sorted by token: candidate pairs (a, b) of small groups, and rows (a, n, token) of the members of large ones."""
+    """Rows (token, node, n, fp, root) come sorted by token: candidates (a, b, forest) of small groups, and (a, token) for members of large ones."""
     num, den = share.numerator, share.denominator
 
-    def out(a, b, n, token):
-        arrays = [pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(n, pa.int32()), pa.array(token, pa.int64())]
-        return pa.RecordBatch.from_arrays(arrays, names=["a", "b", "n", "token"])
+    def out(a, b, forest, token):
+        arrays = [pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(forest, pa.bool_()), pa.array(token, pa.int64())]
+        return pa.RecordBatch.from_arrays(arrays, names=["a", "b", "forest", "token"])
 
-    def close(token, node, n):
+    def close(token, node, n, fp, root):
         starts = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]]))
         size = np.diff(np.append(starts, len(token)))
         ends = np.repeat(starts + size, size)
-        large = np.repeat(size, size) > group
+        apart = np.minimum.reduceat(root, starts) != np.maximum.reduceat(root, starts)
+        large = np.repeat((size > group) & apart, size)
         if large.any():
-            k = int(large.sum())
-            yield out(node[large], pa.nulls(k, pa.int64()), n[large], token[large])
-        at = np.flatnonzero(~large)
+            yield out(node[large], pa.nulls(int(large.sum()), pa.int64()), pa.nulls(int(large.sum()), pa.bool_()), token[large])
+        at = np.flatnonzero(np.repeat((size <= group) & apart, size))
+        names = np.unique(root[at], return_inverse=True)[1] if len(at) else at
+        of = np.zeros(len(token), np.int64)
+        of[at] = names
+        trees = np.arange(int(names.max()) + 1) if len(at) else at
         for d in range(1, group):
             at = at[at + d < ends[at]]
             if not len(at):
                 break
-            fits = at[np.minimum(n[at], n[at + d]) * den >= np.maximum(n[at], n[at + d]) * num]
-            a, b = np.minimum(node[fits], node[fits + d]), np.maximum(node[fits], node[fits + d])
-            if len(a):
-                pairs = np.unique(np.stack([a, b], 1), axis=0)
-                yield out(pairs[:, 0], pairs[:, 1], pa.nulls(len(pairs), pa.int32()), pa.nulls(len(pairs), pa.int64()))
+            to = at + d
+            small, big = np.minimum(n[at], n[to]), np.maximum(n[at], n[to])
+            near = (small < FEW) | (np.bitwise_count((fp[at] ^ fp[to]).view(np.uint64)) <= FAR)
+            fits = (root[at] != root[to]) & (small * den >= big * num) & near
+            i, j = at[fits], to[fits]
+            if not len(i):
+                continue
+            first = trees[of[i]] != trees[of[j]]
+            hook(trees, of[i][first], of[j][first])
+            pairs = np.unique(np.stack([np.minimum(node[i], node[j]), np.maximum(node[i], node[j]), first], 1), axis=0)
+            yield out(pairs[:, 0], pairs[:, 1], pairs[:, 2].astype(bool), pa.nulls(len(pairs), pa.int64()))
 
     held, rest = [], 0
     for b in batches:
-        now = [b.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in range(3)]
+        now = [b.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in range(5)]
         if not len(now[0]):
             continue
         held.append(now)
         rest += len(now[0])
-        if rest < 100_000 or held[0][0][0] == now[0][-1]:
+        if rest < 200_000 or held[0][0][0] == now[0][-1]:
             continue
         rows = [np.concatenate(x) for x in zip(*held)]
         cut = int(np.searchsorted(rows[0], rows[0][-1], side="left"))
@@ -146,13 +159,8 @@ def _verified(batches, share: Fraction):
         yield b.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
 
-def _possible(batches, share: Fraction):
-    """Pairs whose bucket counts leave room for the overlap that they need; what a full bucket does not count may be common."""
-    for b in batches:
-        na, nb = (b.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in (2, 3))
-        x, y = (np.frombuffer(b"".join(b.column(i).to_pylist()), np.uint8).reshape(-1, BUCKETS) for i in (4, 5))
-        most = np.minimum(x, y).sum(axis=1, dtype=np.int64) + np.minimum(na - x.sum(axis=1, dtype=np.int64), nb - y.sum(axis=1, dtype=np.int64))
-        yield b.select(["a", "b"]).filter(pa.array(most * share.denominator >= share.numerator * (na + nb - most), pa.bool_()))
+def _ends(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.explode(F.array("a", "b")).alias("node"))
 
 
 class Overlap:
@@ -163,65 +171,72 @@ class Overlap:
         text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
         self.rows = spread(docs.select(F.col(f"`{id_col}`").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("node")))
         share, frequent = self.share, _frequent(self.rows, shingle)
-        every = self.rows.select("node", "text").mapInArrow(lambda bs: _prints(bs, shingle, share, frequent), "node long, fp long, n int, prefix array<long>, counts binary")
+        every = self.rows.select("node", "text").mapInArrow(lambda bs: _prints(bs, shingle, share, frequent), "node long, fp long, n int, prefix array<long>")
         self.prints = materialize(every.dropDuplicates(["node"]), "prints")
-        self.named = self.prints.withColumn("root", F.col("node"))
-
-    def verify(self, pairs: DataFrame) -> DataFrame:
-        """The pairs (a, b) that are not in one component of `named` and whose texts reach the similarity."""
-        shingle, share = self.shingle, self.share
-        pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a < b").distinct()
-        side = lambda x, *columns: self.named.select(F.col("node").alias(x), *(F.col(c).alias(f"{c}_{x}") for c in columns))
-        held = ("n", "counts", "root")
-        both = pairs.join(side("a", *held), "a").join(side("b", *held), "b").where("root_a <> root_b").select("a", "b", "n_a", "n_b", "counts_a", "counts_b")
-        pairs = materialize(both.mapInArrow(lambda bs: _possible(bs, share), "a long, b long"), "pairs")
-        asked = pairs.select(F.col("a").alias("node")).unionAll(pairs.select(F.col("b").alias("node"))).distinct()
-        found = self.rows.select("node", "text").join(asked, "node", "left_semi").mapInArrow(lambda bs: _sets(bs, shingle), "node long, tokens array<long>")
-        sets = materialize(found.dropDuplicates(["node"]), "sets")
-        both = pairs.join(sets.select(F.col("node").alias("a"), F.col("tokens").alias("left")), "a").join(sets.select(F.col("node").alias("b"), F.col("tokens").alias("right")), "b")
-        return materialize(both.select("a", "b", "left", "right").mapInArrow(lambda bs: _verified(bs, share), "a long, b long"), "verified")
-
-    def settle(self, edges: DataFrame) -> None:
-        """Name each text's component by the links so far."""
-        roots = connected_components(edges)
-        named = self.prints.select("node", "n", "counts").join(roots, "node", "left")
-        self.named = materialize(named.select("node", "n", "counts", F.coalesce("root", "node").alias("root")), "named")
 
-    def _open(self, large: DataFrame) -> DataFrame:
-        """Members of large groups with their component, without the groups that are in one component."""
-        named = large.select("token", "node", "n").join(self.named.select("node", "root"), "node")
-        unsettled = named.groupBy("token").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x < y").select("token")
-        return materialize(join_totals(named, unsettled, "token", "left_semi"), "open")
+    def sets_of(self, nodes: DataFrame) -> DataFrame:
+        """Shingle sets of the texts named."""
+        shingle = self.shingle
+        texts = self.rows.select("node", "text").join(nodes.distinct(), "node", "left_semi")
+        return materialize(texts.mapInArrow(lambda bs: _sets(bs, shingle), "node long, tokens array<long>").dropDuplicates(["node"]), "sets")
+
+    def verify(self, pairs: DataFrame, sets: DataFrame) -> DataFrame:
+        """The pairs (a, b), each once, whose sets reach the similarity."""
+        share = self.share
+        side = lambda x, name: sets.select(F.col("node").alias(x), F.col("tokens").alias(name))
+        both = pairs.select("a", "b").join(side("a", "left"), "a").join(side("b", "right"), "b").select("a", "b", "left", "right")
+        return materialize(both.mapInArrow(lambda bs: _verified(bs, share), "a long, b long"), "verified")
+
+    def _named(self, edges: DataFrame) -> DataFrame:
+        """Each text with its component by the links so far."""
+        roots = connected_components(edges)
+        named = self.prints.select("node", "n", "fp").join(roots, "node", "left")
+        return materialize(named.select("node", "n", "fp", F.coalesce("root", "node").alias("root")), "named")
 
-    def components(self, edges: DataFrame) -> DataFrame:
-        """Rows (doc_id, component_id), one per row of the table, by all links; `edges` (a, b) are verified links known before."""
+    def components(self, pairs: DataFrame) -> DataFrame:
+        """Rows (doc_id, component_id), one per row of the table, by all links; `pairs` (a, b) are checked first."""
         share, group = self.share, self.group
         blank = self.prints.where("n = 0")
         blanks = blank.crossJoin(F.broadcast(blank.agg(F.min("node").alias("b")))).select(F.col("node").alias("a"), "b").where("a <> b")
-        edges = edges.unionAll(blanks)
-        self.settle(edges)
-
-        tokens = self.prints.select(F.explode("prefix").alias("token"), "node", "n").repartition("token").sortWithinPartitions("token", "node")
-        joined = materialize(tokens.mapInArrow(lambda bs: _groups(bs, share, group), "a long, b long, n int, token long"), "joined")
-        edges = edges.unionAll(self.verify(joined.where("b is not null").select("a", "b")))
-
-        alike = F.least(F.col("n"), F.col("m")) * share.denominator >= F.greatest(F.col("n"), F.col("m")) * share.numerator
-        large = joined.where("b is null").select("token", F.col("a").alias("node"), "n")
+        pairs = materialize(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a < b").distinct(), "pairs")
+        edges = blanks.unionAll(self.verify(pairs, self.sets_of(_ends(pairs))))
+        named = self._named(edges)
+
+        tokens = self.prints.select("node", F.explode("prefix").alias("token")).join(named, "node").select("token", "node", "n", "fp", "root")
+        tokens = tokens.repartition("token").sortWithinPartitions("token", "node")
+        joined = materialize(tokens.mapInArrow(lambda bs: _groups(bs, share, group), "a long, b long, forest boolean, token long"), "joined")
+        small = joined.where("b is not null").groupBy("a", "b").agg(F.max("forest").alias("forest"))
+        large = joined.where("b is null").select("token", F.col("a").alias("node"))
+        if joined.isEmpty():
+            return self._by_id(edges)
+        sets = self.sets_of(_ends(joined.where("b is not null")).unionAll(large.select("node")))
+        edges = edges.unionAll(self.verify(small.where("forest"), sets))
+        named = self._named(edges)
+        side = lambda x: named.select(F.col("node").alias(x), F.col("root").alias(f"{x}_root"))
+        rest = small.where("not forest").join(side("a"), "a").join(side("b"), "b").where("a_root <> b_root")
+        edges = edges.unionAll(self.verify(rest, sets))
+
+        alike = (F.least("n", "m") * share.denominator >= F.greatest("n", "m") * share.numerator) & ((F.least("n", "m") < FEW) | (F.bit_count(F.col("fp").bitwiseXOR(F.col("print"))) <= FAR))
         for r in range(ROUNDS + 1):
-            if r == 0 and large.isEmpty():
-                break
-            self.settle(edges)
-            large = self._open(large)
             if large.isEmpty():
                 break
+            named = self._named(edges)
+            members = large.join(named, "node")
+            apart = members.groupBy("token").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x < y").select("token")
+            members = materialize(join_totals(members, apart, "token", "left_semi"), "open")
+            large = members.select("token", "node")
             if r < ROUNDS:
-                first = large.groupBy("token").agg(F.min_by(F.struct("node", "n", "root"), F.xxhash64("node", F.lit(r))).alias("l"))
-                other = first.select("token", F.col("l.node").alias("b"), F.col("l.n").alias("m"), F.col("l.root").alias("other"))
-                met = join_totals(large, other, "token").where("root <> other")
+                first = members.groupBy("token").agg(F.min_by(F.struct("node", "n", "fp", "root"), F.xxhash64("node", F.lit(r))).alias("l"))
+                other = first.select("token", F.col("l.node").alias("b"), F.col("l.n").alias("m"), F.col("l.fp").alias("print"), F.col("l.root").alias("other"))
+                met = join_totals(members, other, "token").where("root <> other")
             else:
-                other = large.select("token", F.col("node").alias("b"), F.col("n").alias("m"), F.col("root").alias("other"))
-                met = large.join(other, "token").where("root < other")
-            edges = edges.unionAll(self.verify(met.where(alike).select(F.col("node").alias("a"), "b")))
+                other = members.select("token", F.col("node").alias("b"), F.col("n").alias("m"), F.col("fp").alias("print"), F.col("root").alias("other"))
+                met = members.join(other, "token").where("root < other")
+            met = met.where(alike).select(F.least("node", "b").alias("a"), F.greatest("node", "b").alias("b")).distinct()
+            edges = edges.unionAll(self.verify(met, sets))
+        return self._by_id(edges)
+
+    def _by_id(self, edges: DataFrame) -> DataFrame:
         roots = connected_components(edges)
         out = self.rows.select("doc_id", "node").join(roots, "node", "left").select("doc_id", F.coalesce("root", "node").alias("root"))
         out = materialize(out, "roots")

@@ -16,8 +16,8 @@ blocks, so no task gets an unbounded group.
 `near_duplicates` links by similarity instead of bits: texts whose five-word
 shingle sets have a Jaccard similarity of 0.8 or more. Links that the anchors
 find are checked exactly; then pairs beyond the anchors' reach (0.8 is some 10
-bits) follow from an exact join in `shingle_overlap`, which skips what the
-anchors have already put into one component.
+bits) follow from a join of rare shingles in `shingle_overlap`, which skips
+what the anchors have already put into one component.
 
 `reach=threshold` gives the plain covering, which needs no midpoint: one text's
 own anchor is among all anchors of the other. Both give the same links (tested).
@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 
 from . import shingle_overlap
 from .common import join_totals, kept, materialize, spread
-from .components import connected_components
+from .components import connected_components, hook
 from .shingles import shingle_hashes, simhash
 
 SHINGLE = 4
@@ -110,22 +110,6 @@ def _replicas(batches, radius: int):
             yield pa.RecordBatch.from_arrays([pa.array(anchor.astype(np.int32)), pa.array(fp[i : i + 2000][row])], names=["anchor", "fp"])
 
 
-def hook(roots: np.ndarray, u: np.ndarray, v: np.ndarray) -> None:
-    """Merge the components of the pairs (u, v) in `roots`, which maps each node to its root."""
-    while True:
-        a, b = roots[u], roots[v]
-        differ = a != b
-        if not differ.any():
-            return
-        u, v, a, b = u[differ], v[differ], a[differ], b[differ]
-        np.minimum.at(roots, np.maximum(a, b), np.minimum(a, b))
-        while True:
-            up = roots[roots]
-            if (up == roots).all():
-                break
-            roots[:] = up
-
-
 def links_within(group: np.ndarray, fp: np.ndarray, threshold: int) -> tuple[np.ndarray, np.ndarray]:
     """Index pairs that span the links inside each run of equal `group`."""
     n = len(fp)
@@ -223,4 +207,4 @@ def near_duplicates(
     side = lambda x: classes.select(F.col("fp").alias(x), F.col("first").alias(f"{x}_node"))
     between = met.join(side("a"), "a").join(side("b"), "b").select(F.col("a_node").alias("a"), F.col("b_node").alias("b"))
     within = join_totals(overlap.prints.select("fp", "node"), classes, "fp").where("node <> first").select(F.col("node").alias("a"), F.col("first").alias("b"))
-    return overlap.components(overlap.verify(between.unionAll(within)))
+    return overlap.components(between.unionAll(within))
