@@ -25,10 +25,17 @@ windows go in blocks of neighbouring starts, by the bytes that all windows of a
 block have in common. From MOB times CROWD occurrences on, each window goes by
 itself, and equal windows are one class without a group.
 
+A row is known by 80 bits of its id and whole text, a mark of 64 and a check of
+16, as any number of rows may have one id, or none: among 10**10 different rows
+one in 10**4 tables has two that are alike in these. Anchors meet by the first
+48 bits of their hash, which leaves room for the check in the shuffle; strings
+are compared as such afterwards, so a chance meeting removes nothing.
+
 Order: smaller doc_id first, then earlier start. Edge cases: a null text is
-empty; a null doc_id comes before all others; rows with the same doc_id and
-text are one place each and do not remove each other; a text shorter than
-LENGTH loses nothing; an empty table gives an empty result.
+empty; a null doc_id comes before all others, and null ids are one id; rows
+with the same doc_id and text are one place each and do not remove each other;
+a text shorter than LENGTH loses nothing; very long texts are read whole; an
+empty table gives an empty result; other columns of the input are not read.
 """
 
 from __future__ import annotations
@@ -112,35 +119,42 @@ def _chunks(starts: np.ndarray, ends: np.ndarray):
 
 
 def _anchors(batches, with_place: bool, length: int, gram: int):
+    """First 48 bits of the hashes of all anchors; with their places: those bits and the row's check, its mark, and the place."""
     for b in batches:
         raw, starts, ends = utf8_buffers(b.column(0))
         if with_place:
-            marks = b.column(1).to_numpy(zero_copy_only=False)
+            marks, checks = (b.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in (1, 2))
         for i, j in _chunks(starts, ends):
             at, h = anchors(raw, starts[i:j], ends[i:j], length, gram)
             if not len(at):
                 continue
             if not with_place:
-                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64))], names=["hash"])
+                yield pa.RecordBatch.from_arrays([pa.array((h >> np.uint64(CHECK_BITS)).view(np.int64))], names=["hash"])
                 continue
             row = np.searchsorted(starts[i:j], at, side="right") - 1 + i
             # Empty texts share a start with the next one; the last of them holds the bytes.
-            columns = [h.view(np.int64), marks[row], at - starts[row]]
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["hash", "mark", "place"])
+            columns = [h.view(np.int64) >> CHECK_BITS << CHECK_BITS | checks[row], marks[row], at - starts[row]]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["key", "mark", "place"])
 
 
 # How an anchor's windows are dealt out: all in one segment, in blocks, one by one. A class is named by WHOLE,
 # FIRST_BLOCK + block, or the window's last byte counted from the anchor.
 WHOLE, BLOCKS, SINGLE = 0, 1, 2
-FIRST_BLOCK = 1 << 16
+FIRST_BLOCK = 1 << 14
+#: Bits of a row's check; a packed place has the position in 32 bits, then for candidates the check and the way, for classes the name and the check.
+CHECK_BITS = 16
+WAY_AT, CHECK_AT = 32 + CHECK_BITS, 47
 
 
-def _lists(column) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Row ends, positions and ways of dealing of a column of lists of packed longs; a null is empty."""
+def _lists(column, checks) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Row ends, positions and ways of dealing of a column of lists of packed longs, without those of another row's check; a null is empty."""
     sizes = np.zeros(len(column) + 1, np.int64)
     sizes[1:] = pc.fill_null(pc.list_value_length(column), 0).to_numpy(zero_copy_only=False)
     packed = column.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
-    return np.cumsum(sizes), packed & 0xFFFFFFFF, packed >> 32
+    row = np.repeat(np.arange(len(column)), sizes[1:])
+    mine = (packed >> 32 & (1 << CHECK_BITS) - 1) == checks.to_numpy(zero_copy_only=False)[row]
+    packed, row = packed[mine], row[mine]
+    return np.searchsorted(row, np.arange(len(column) + 1)), packed & 0xFFFFFFFF, packed >> WAY_AT
 
 
 def _blocks(pos: int, n: int, length: int, gram: int):
@@ -177,8 +191,8 @@ def _pieces(data: bytes, pos: int, h: int, way: int, length: int, gram: int):
 
 def _segments(batches, length: int, gram: int):
     """Strings around the anchors of each document. Equal ones of a task are one row, with its first place."""
-    names = ["deal", "off", "way", "segment", "id", "mark", "pos"]
-    types = [pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.int64(), pa.int64(), pa.int32()]
+    names = ["deal", "off", "way", "segment", "id", "pos", "mark", "check"]
+    types = [pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.int64(), pa.int32(), pa.int64(), pa.int32()]
 
     def table(held):
         rows = [(*key, *place) for key, place in held.items()]
@@ -186,17 +200,17 @@ def _segments(batches, length: int, gram: int):
 
     held: dict[tuple, tuple] = {}
     for b in batches:
-        ends, where, ways = _lists(b.column(3))
-        raw, starts, stops = utf8_buffers(b.column(2))
+        ends, where, ways = _lists(b.column(4), b.column(2))
+        raw, starts, stops = utf8_buffers(b.column(3))
         for i in np.nonzero(np.diff(ends))[0]:
-            text, doc, mark = raw[starts[i] : stops[i]], b.column(0)[i].as_py(), b.column(1)[i].as_py()
+            text, doc, mark, check = raw[starts[i] : stops[i]], *(b.column(k)[i].as_py() for k in range(3))
             data, mine = text.tobytes(), slice(int(ends[i]), int(ends[i + 1]))
             hashes = gram_hashes(text, gram)[where[mine]].view(np.int64).tolist()
             for pos, h, way in zip(where[mine].tolist(), hashes, ways[mine].tolist()):
                 for key in _pieces(data, pos, h, way, length, gram):
                     old = held.get(key)
-                    if old is None or (doc, pos, mark) < (old[0], old[2], old[1]):
-                        held[key] = (doc, mark, pos)
+                    if old is None or (doc, pos, mark, check) < old:
+                        held[key] = (doc, pos, mark, check)
             if len(held) >= HELD:
                 yield table(held)
                 held = {}
@@ -240,14 +254,14 @@ def repeated_windows(group: np.ndarray, symbols: np.ndarray, low: np.ndarray, hi
 
 
 def _columns(batches, length: int, gram: int):
-    """Bit masks of repeated windows per class, null where there are none; rows (deal, off, way, segment, id, mark, pos) come sorted by deal.
+    """Bit masks of repeated windows per class, null where there are none; rows (deal, off, way, segment, id, pos, mark, check) come sorted by deal.
 
     Single windows are classes by themselves and pass.
     """
     side, width = length - gram, 2 * length - gram
 
     def build(rows):
-        deals, offs, ways, segments, ids, marks, places = rows
+        deals, offs, ways, segments, ids, places, marks, checks = rows
         n = len(deals)
         group = np.concatenate([[0], np.cumsum(deals[1:] != deals[:-1])])
         symbols, low, high = np.zeros((n, width), np.uint8), side + offs, np.zeros(n, np.int64)
@@ -261,20 +275,20 @@ def _columns(batches, length: int, gram: int):
         rank[by] = np.concatenate([[0], np.cumsum(step)])
         found = repeated_windows(group, symbols, low, high, rank, length)
         masks = [m.tobytes() if some else None for m, some in zip(np.packbits(found, axis=1), found.any(axis=1).tolist())]
-        return out(marks, np.where(ways == BLOCKS, FIRST_BLOCK + low // BLOCK, WHOLE) << 32 | places, masks)
+        return out(marks, checks << CHECK_AT | np.where(ways == BLOCKS, FIRST_BLOCK + low // BLOCK, WHOLE) << 32 | places, masks)
 
     def out(marks, places, masks):
         return pa.RecordBatch.from_arrays([pa.array(marks), pa.array(places.astype(np.int64)), pa.array(masks, type=pa.binary())], names=["mark", "place", "mask"])
 
     def rows_of(held):
-        return [[x for h in held for x in h[3]] if k == 3 else np.concatenate([h[k] for h in held]) for k in range(7)]
+        return [[x for h in held for x in h[3]] if k == 3 else np.concatenate([h[k] for h in held]) for k in range(8)]
 
     held, count = [], 0
     for b in batches:
-        now = [b.column(k).to_pylist() if k == 3 else b.column(k).to_numpy().astype(np.int64) for k in range(7)]
+        now = [b.column(k).to_pylist() if k == 3 else b.column(k).to_numpy().astype(np.int64) for k in range(8)]
         alone = now[2] == SINGLE
         if alone.any():
-            yield out(now[5][alone], now[1][alone] + length << 32 | now[6][alone], [None] * int(alone.sum()))
+            yield out(now[6][alone], now[7][alone] << CHECK_AT | now[1][alone] + length << 32 | now[5][alone], [None] * int(alone.sum()))
             rest = np.nonzero(~alone)[0]
             now = [[x[r] for r in rest] if k == 3 else x[rest] for k, x in enumerate(now)]
         if not len(now[0]):
@@ -291,11 +305,11 @@ def _columns(batches, length: int, gram: int):
         yield build(rows_of(held))
 
 
-def _spans(n: int, pos: np.ndarray, ways: np.ndarray, firsts: list, length: int, gram: int) -> np.ndarray:
-    """Removed bytes of a document as a mask. firsts: (class name << 32 | position, mask) of the classes that start here."""
+def _spans(n: int, check: int, pos: np.ndarray, ways: np.ndarray, firsts: list, length: int, gram: int) -> np.ndarray:
+    """Removed bytes of a document as a mask. firsts: (check, class name and position, mask) of the classes that start here."""
     gone, side = np.zeros(n + 1, np.int32), length - gram
     bits = lambda m: np.nonzero(np.unpackbits(np.frombuffer(m or b"", np.uint8)))[0]
-    own = {(f["place"] & 0xFFFFFFFF, f["place"] >> 32): f["mask"] for f in firsts}
+    own = {(f["place"] & 0xFFFFFFFF, f["place"] >> 32 & (1 << CHECK_AT - 32) - 1): f["mask"] for f in firsts if f["place"] >> CHECK_AT == check}
     first, last = np.maximum(pos - side, 0), np.minimum(pos + length, n)
     mine = [p for p, name in own if name == WHOLE]
     whole = (ways == WHOLE) & ~np.isin(pos, mine) & (last - first >= length)
@@ -322,13 +336,13 @@ def _finish(batches, length: int, gram: int):
     types = [pa.int64()] * 4 + [pa.string(), pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))]
     for b in batches:
         rows = []
-        ends, pos, ways = _lists(b.column(3))
+        ends, pos, ways = _lists(b.column(4), b.column(2))
         for i in range(b.num_rows):
-            doc, data, copy = b.column(0)[i].as_py(), b.column(2)[i].as_py().encode(), b.column(5)[i].as_py()
+            doc, check, data, copy = b.column(0)[i].as_py(), b.column(2)[i].as_py(), b.column(3)[i].as_py().encode(), b.column(6)[i].as_py()
             spans = [(0, len(data))] if copy and len(data) >= length else []
             if ends[i] < ends[i + 1]:
                 mine = slice(int(ends[i]), int(ends[i + 1]))
-                gone = _spans(len(data), pos[mine], ways[mine], b.column(4)[i].as_py() or [], length, gram)
+                gone = _spans(len(data), check, pos[mine], ways[mine], b.column(5)[i].as_py() or [], length, gram)
                 edges = np.flatnonzero(np.diff(np.concatenate([[0], gone.astype(np.int8), [0]])))
                 spans = list(zip(edges[::2].tolist(), edges[1::2].tolist()))
             at, kept = 0, []
@@ -345,30 +359,34 @@ def dedup_substrings(docs: DataFrame, text_col: str = "text", id_col: str = "doc
 
     Texts are shuffled once: all steps read the same exchange.
     """
-    key = ["mark"]
     text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
     rows = docs.select(text.alias("text"), F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(_NO_ID)).alias("id"))
-    # The mark stands for the row: 64 bits, as one id, or null, may belong to any number of texts.
-    rows = rows.withColumn("mark", F.xxhash64("id", "text"))
-    digests = rows.select(*key, "id", F.unhex(F.sha2("text", 256)).alias("digest"))
+    check = F.pmod(F.xxhash64("text", "id", F.lit(1)), F.lit(1 << CHECK_BITS)).cast("int")
+    rows = rows.select("id", F.xxhash64("id", "text").alias("mark"), check.alias("check"), "text")
+    digests = rows.select("id", "mark", "check", F.unhex(F.sha2("text", 256)).alias("digest"))
     earliest = digests.groupBy("digest").agg(F.min("id").alias("first"), F.count("*").alias("n")).where("n > 1")
-    later = join_totals(digests, earliest, "digest").where("id > first").select(*key, F.lit(True).alias("copy")).distinct()
-    texts = rows.select("id", *key, "text").join(later.hint("shuffle_hash"), key, "left")
+    later = join_totals(digests, earliest, "digest").where("id > first").groupBy("mark").agg(F.collect_set("check").alias("copies"))
+    texts = rows.join(later.hint("shuffle_hash"), "mark", "left").select("id", "mark", "check", "text", F.coalesce(F.array_contains("copies", F.col("check")), F.lit(False)).alias("copy"))
     # The id is not needed here, but without it this would be another exchange of the texts.
-    own = texts.where("copy is null").select("text", *key, "id")
-    counts = own.mapInArrow(lambda bs: _anchors(bs, False, length, gram), "hash long").groupBy("hash").agg(F.count("*").alias("n")).where("n > 1")
-    places = own.mapInArrow(lambda bs: _anchors(bs, True, length, gram), "hash long, mark long, place long")
-    way = F.when(F.col("n") > MOB * crowd, F.lit(SINGLE << 32)).when(F.col("n") > crowd, F.lit(BLOCKS << 32)).otherwise(F.lit(WHOLE))
-    packed = way + F.col("place").bitwiseAND(F.lit(0xFFFFFFFF))
-    found = join_totals(places, counts, "hash", hint="shuffle_hash").select("mark", packed.alias("place"))
-    cands = found.groupBy(*key).agg(F.collect_list("place").alias("places"))
-    with_places = texts.join(cands.hint("shuffle_hash"), key, "left").select("id", *key, "text", "places", "copy")
-    segments = with_places.select("id", *key, "text", "places").mapInArrow(
-        lambda bs: _segments(bs, length, gram), "deal long, off int, way int, segment binary, id long, mark long, pos int"
+    own = texts.where("not copy").select("text", "mark", "check", "id")
+    hashes = own.mapInArrow(lambda bs: _anchors(bs, False, length, gram), "hash long")
+    counts = hashes.groupBy("hash").agg(F.count("*").alias("n")).where("n > 1")
+    places = own.mapInArrow(lambda bs: _anchors(bs, True, length, gram), "key long, mark long, place long")
+    way = F.when(F.col("n") > MOB * crowd, SINGLE << WAY_AT).when(F.col("n") > crowd, BLOCKS << WAY_AT).otherwise(WHOLE)
+    packed = way + F.shiftleft(F.col("key").bitwiseAND((1 << CHECK_BITS) - 1), 32) + F.col("place")
+    # As in join_totals, the second key gives the counts a shuffle of their own, so that a hot hash can be split.
+    also = lambda h: F.pmod(F.xxhash64(h), F.lit(2))
+    mine = F.shiftrightunsigned("key", CHECK_BITS)
+    counts = counts.select("hash", "n", also("hash").alias("also")).hint("shuffle_hash")
+    found = places.join(counts, (mine == F.col("hash")) & (also(mine) == F.col("also"))).select("mark", packed.alias("place"))
+    cands = found.groupBy("mark").agg(F.collect_list("place").alias("places"))
+    with_places = texts.join(cands.hint("shuffle_hash"), "mark", "left").select("id", "mark", "check", "text", "places", "copy")
+    segments = with_places.select("id", "mark", "check", "text", "places").mapInArrow(
+        lambda bs: _segments(bs, length, gram), "deal long, off int, way int, segment binary, id long, pos int, mark long, check int"
     )
-    classes = segments.repartition("deal").groupBy("deal", "off", "way", "segment").agg(F.min(F.struct("id", "pos", "mark")).alias("first"))
-    classes = classes.select("deal", "off", "way", "segment", "first.id", "first.mark", "first.pos").sortWithinPartitions("deal")
+    classes = segments.repartition("deal").groupBy("deal", "off", "way", "segment").agg(F.min(F.struct("id", "pos", "mark", "check")).alias("first"))
+    classes = classes.select("deal", "off", "way", "segment", "first.*").sortWithinPartitions("deal")
     built = classes.mapInArrow(lambda bs: _columns(bs, length, gram), "mark long, place long, mask binary")
-    firsts = built.groupBy(*key).agg(F.collect_list(F.struct("place", "mask")).alias("firsts"))
-    whole = with_places.join(firsts.hint("shuffle_hash"), key, "left").select("id", *key, "text", "places", "firsts", "copy")
+    firsts = built.groupBy("mark").agg(F.collect_list(F.struct("place", "mask")).alias("firsts"))
+    whole = with_places.join(firsts.hint("shuffle_hash"), "mark", "left").select("id", "mark", "check", "text", "places", "firsts", "copy")
     return whole.mapInArrow(lambda bs: _finish(bs, length, gram), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, removed array<struct<start long, end long>>")

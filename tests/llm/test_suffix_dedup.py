@@ -100,7 +100,38 @@ def test_many_different_texts_under_one_id(spark, doc):
         else:
             # Last bytes of the symbols beside the passage may be common as well.
             assert len(spans) == 1 and start - 1 <= spans[0][0] <= start and start + 120 <= spans[0][1] <= start + 122
-    
+
+@pytest.mark.parametrize("doc", [None, 7])
+def test_texts_under_one_id_equal_brute_force(spark, monkeypatch, doc):
+    """One id for all rows, and marks so short that rows share them: the check keeps them apart."""
+    r = random.Random(10)
+    word = lambda k: "".join(r.choice("abcdefghijklmnop") for _ in range(k))
+    shared = [word(150) for _ in range(6)]
+    rows = [word(r.randint(5, 60)) + r.choice(shared) + word(r.randint(0, 50)) + str(i) for i in range(300)]
+    first: dict = {}
+    for t in rows:
+        for s in range(len(t) - 99):
+            first[t[s : s + 100]] = min(s, first.get(t[s : s + 100], s))
+    xxhash64 = S.F.xxhash64
+    monkeypatch.setattr(S.F, "xxhash64", lambda *c: S.F.pmod(xxhash64(*c), S.F.lit(40)) if [x for x in c if isinstance(x, str)] == ["id", "text"] else xxhash64(*c))
+    df = spark.createDataFrame([(doc, t) for t in rows], "doc_id long, text string").repartition(4)
+    got = {x["kept_sha256"] for x in S.dedup_substrings(df).collect()}
+    want = set()
+    for t in rows:
+        gone = [False] * len(t)
+        for s in range(len(t) - 99):
+            if first[t[s : s + 100]] != s:
+                gone[s : s + 100] = [True] * 100
+        want.add(hashlib.sha256("".join(c for c, g in zip(t, gone) if not g).encode()).hexdigest())
+    assert got == want
+
+
+def test_columns_with_clashing_names(spark):
+    r = random.Random(12)
+    long = "".join(r.choice("abcdefghijklmnop") for _ in range(180))
+    df = spark.createDataFrame([(1, long, 5, "m", 9), (2, "x" + long, 6, "n", 8)], "doc_id long, text string, mark int, hash string, check int")
+    assert {x["doc_id"]: x["n_removed"] for x in S.dedup_substrings(df).collect()} == {1: 0, 2: 180}
+
 
 def test_equal_windows_share_an_anchor():
     rng = np.random.default_rng(3)
