@@ -77,7 +77,8 @@ def _op2_sql() -> str:
             (select m * k as a, k from (select m, least(greatest(case when b > 0 then m * (1 - m) / b - 1 else {q.PRIOR_MAX} end, {q.PRIOR_MIN}), {q.PRIOR_MAX}) as k
              from (select any_value(m) as m, sum(n * pow(f_{r} / n::double - m, 2)) / sum(n) - any_value(m) * (1 - any_value(m)) * count(*) / sum(n) as b
                    from hosts, (select sum(f_{r}) / sum(n)::double as m from hosts)))) as p_{r}""")
-        bad.append(f"(f_{r} + p_{r}.a) / (n + p_{r}.k) >= {q.HOST_RATE} as bad_{r}")
+        rate = f"(f_{r} + p_{r}.a) / (n + p_{r}.k)"
+        bad.append(f"case when {rate} >= {q.HOST_BAD} then 1 when {rate} >= {q.HOST_SPOTLESS} then 2 else 3 end as rejects_{r}")
     return rf"""
     with w as (
       select doc_id, source, coalesce(text, '') as t, {WORDS_SQL} as ws,
@@ -92,11 +93,14 @@ def _op2_sql() -> str:
              (len(ls) - len(list_distinct(ls)))::bigint as n_dup_lines, coalesce(n_repeat_words, 0)::bigint as n_repeat_words
       from w left join rep using (doc_id)),
     f as (
-      select *, n_words < 50 or 100 * n_repeat_words > 50 * n_words as base_failed, 10 * n_symbols > n_words as fail_symbols,
-             10 * n_dup_lines > 3 * n_lines as fail_dup_lines, word_chars < 3 * n_words or word_chars > 12 * n_words as fail_word_length from s),
-    hosts as (select source, count(*) as n, {', '.join(f'sum(fail_{r}::int) as f_{r}' for r in q.RULES)} from f group by source),
+      select *, n_words < 50 or 100 * n_repeat_words > 50 * n_words as base_failed,
+             case when 10 * n_symbols > 3 * n_words then 2 when 10 * n_symbols > n_words then 1 else 0 end as level_symbols,
+             case when 10 * n_dup_lines > 9 * n_lines then 2 when 10 * n_dup_lines > 3 * n_lines then 1 else 0 end as level_dup_lines,
+             case when word_chars < 2 * n_words or word_chars > 24 * n_words then 2
+                  when word_chars < 3 * n_words or word_chars > 12 * n_words then 1 else 0 end as level_word_length from s),
+    hosts as (select source, count(*) as n, {', '.join(f'sum((level_{r} > 0)::int) as f_{r}' for r in q.RULES)} from f group by source),
     v as (select source, {', '.join(bad)} from hosts, {', '.join(prior)}),
-    j as (select f.*, {' or '.join(f'(fail_{r} and bad_{r})' for r in q.RULES)} as host_failed from f join v on f.source is not distinct from v.source)
+    j as (select f.*, {' or '.join(f'level_{r} >= rejects_{r}' for r in q.RULES)} as host_failed from f join v on f.source is not distinct from v.source)
     select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, not base_failed and not host_failed as kept, host_failed from j
     """
 
