@@ -127,10 +127,10 @@ def _op9_sql() -> str:
 
 def _op1_sql() -> str:
     return f"""
-    with recursive d as (select mode(len(embedding)) as n from embeddings where embedding is not null),
-    v as (select vec_id, label, embedding::double[] as e from embeddings, d
-          where label is not null and len(embedding) = n and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0 and list_sum(list_transform(embedding, lambda x: abs(x))) > 0),
-    p as materialized (select a.vec_id as a, b.vec_id as b from v a join v b on a.label = b.label and a.vec_id <> b.vec_id and list_cosine_similarity(a.e, b.e) >= {embedding_dedup.THRESHOLD}),
+    with recursive v as (select vec_id, label, embedding::double[] as e from embeddings
+          where label is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0 and list_sum(list_transform(embedding, lambda x: abs(x))) > 0),
+    p as materialized (select a.vec_id as a, b.vec_id as b from v a join v b on a.label = b.label and a.vec_id <> b.vec_id
+                        where case when len(a.e) = len(b.e) then list_cosine_similarity(a.e, b.e) end >= {embedding_dedup.THRESHOLD}),
     r(vec_id, root) as (select distinct a, a from p union select p.b, r.root from r join p on p.a = r.vec_id),
     c as (select vec_id, min(root) as root from r group by vec_id),
     l as (select a, count(*) as n from p group by a)

@@ -1,4 +1,5 @@
 import numpy as np
+import pytest
 
 from quern.llm import embedding_dedup as E
 
@@ -6,10 +7,10 @@ from quern.llm import embedding_dedup as E
 def brute(rows):
     good = []
     for v, x, label in rows:
-        ok = x is not None and label is not None and len(x) == 16 and None not in x and np.isfinite(x).all() and any(x)
+        ok = x is not None and label is not None and len(x) > 0 and None not in x and np.isfinite(x).all() and any(x)
         good.append(bool(ok) and np.asarray(x, float) / np.linalg.norm(x))
     n = len(rows)
-    link = [[i != j and rows[i][2] == rows[j][2] and good[i] is not False and good[j] is not False and float(good[i] @ good[j]) >= 0.93 for j in range(n)] for i in range(n)]
+    link = [[i != j and rows[i][2] == rows[j][2] and good[i] is not False and good[j] is not False and len(good[i]) == len(good[j]) and float(good[i] @ good[j]) >= 0.93 for j in range(n)] for i in range(n)]
     root = list(range(n))
     for _ in range(n):
         for i in range(n):
@@ -31,6 +32,7 @@ def vectors(seed=0, n=60, dim=16):
             rows.append((len(rows) * 7 % 1009, (x + rng.standard_normal(dim) * rng.choice([0.05, 0.2, 0.3])).astype(np.float32).tolist(), int(i % 2)))
     rows += [(2000, rows[0][1], rows[0][2]), (2001, rows[0][1], None), (2002, None, 1), (2003, [0.0] * dim, 1), (2004, [float("nan")] * dim, 1), (2005, [float("inf")] + [1.0] * (dim - 1), 1)]
     rows += [(2006, [None] + [1.0] * (dim - 1), 0), (2007, [], 0), (2008, rows[0][1], rows[0][2]), (2009, [2 * v for v in rows[0][1]], rows[0][2])]
+    rows += [(2010, [1.0, 2.0, 3.0], 0), (2011, [1.0, 2.0, 3.1], 0), (2012, [-1.0, 2.0, 3.0], 0), (2013, [5.0], 1), (2014, [7.0], 1), (2015, [-7.0], 1)]
     return rows
 
 
@@ -41,28 +43,57 @@ def test_every_link_with_exhaustive_radius(spark):
     assert got == sorted(brute(rows))
 
 
-def test_recall_at_the_threshold():
-    """Pairs at exactly the threshold, the hardest there are: at least 0.9 are found, by either side."""
-    rng = np.random.default_rng(5)
-    x = E.unit_rows(rng.standard_normal((4000, 64)))
-    noise = rng.standard_normal(x.shape)
+def test_lengths_without_a_codebook_are_exact(spark, monkeypatch):
+    monkeypatch.setattr(E, "LENGTHS", 1)
+    rows = vectors(seed=3, n=30)
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").repartition(3)
+    got = sorted((r["vec_id"], r["n_links"], r["component_id"]) for r in E.near_duplicates(df, recall=1.0, block=16).collect())
+    assert got == sorted(brute(rows))
+
+
+def at_threshold(rng, n, dim, rank):
+    """Vectors and partners at exactly the threshold, all in `rank` random directions."""
+    span = rng.standard_normal((rank, dim))
+    x = E.unit_rows(rng.standard_normal((n, rank)) @ span)
+    noise = rng.standard_normal((n, rank)) @ span
     noise -= (noise * x).sum(1, keepdims=True) * x
-    y = 0.93 * x + np.sqrt(1 - 0.93**2) * E.unit_rows(noise)
-    index = E.MultiIndex(x[:2000], 16, 0.93, E.RECALL)
+    return x, 0.93 * x + np.sqrt(1 - 0.93**2) * E.unit_rows(noise)
+
+
+@pytest.mark.parametrize("rank,k", [(64, 16), (8, 16), (4, 16), (4, 64)])
+def test_recall_at_the_threshold(rank, k):
+    """Pairs at exactly the threshold, the hardest there are: at least 0.9 are found from either side, also where vectors lie in few directions."""
+    x, y = at_threshold(np.random.default_rng(5), 4000, 64, rank)
+    index = E.MultiIndex(x[:2000], k, 0.93, E.RECALL)
     found = 0
     for p, q in ((x, y), (y, x)):
-        a, b = index.bounds(p)
-        i, j = index.cells(q)
+        _, _, a, b = index.places(p)
+        i, j, _, _ = index.places(q)
         one = a[np.arange(len(p)), i] + b[np.arange(len(p)), j] <= index.radius
         found = one if p is x else found | one
         assert one.mean() > 0.95
     assert found.mean() > 0.98
 
 
+@pytest.mark.parametrize("rank", [64, 6])
+def test_recall_of_the_operator(spark, rank):
+    """The whole operator with its own recall setting, in clusters of vectors near the threshold, against brute force."""
+    rng = np.random.default_rng(rank)
+    x, y = at_threshold(rng, 900, 64, rank)
+    y = E.unit_rows(y + 0.002 * x)
+    rows = [(i, v.tolist(), i % 900 % 2) for i, v in enumerate(np.concatenate([x, y]))]
+    df = spark.createDataFrame([(*r, 0, "x") for r in rows], "vec_id long, embedding array<double>, label int, node int, root string").repartition(3)
+    got = {r["vec_id"]: r["n_links"] for r in E.near_duplicates(df).collect()}
+    v = E.unit_rows(np.array([r[1] for r in rows]))
+    label = np.array([r[2] for r in rows])
+    want = ((v @ v.T >= 0.93) & (label[:, None] == label)).sum(axis=1) - 1
+    assert all(got[i] <= want[i] for i in got) and sum(got.values()) >= 0.98 * want.sum() and want.sum() >= 1800
+
+
 def test_traversal_is_in_order_and_complete():
     rng = np.random.default_rng(2)
     index = E.MultiIndex(rng.standard_normal((300, 8)), 6, 0.93, 0.9)
-    a, b = index.bounds(E.unit_rows(rng.standard_normal((5, 8))))
+    _, _, a, b = index.places(E.unit_rows(rng.standard_normal((5, 8))))
     for r in range(5):
         cells = list(index.traverse(a[r], b[r]))
         bounds = [a[r][i] + b[r][j] for i, j in cells]
