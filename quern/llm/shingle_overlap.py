@@ -9,13 +9,13 @@ sample last; any order is right, this one keeps the groups of a shingle small.
 A pair that shares a rare shingle is a candidate if its sizes allow the
 similarity, if it is not in one component already, and if its fingerprints
 differ in at most FAR bits: at similarity 0.8 a bit differs with probability
-0.15, so more than 26 of 64 have one of below 1e-6. Sets of fewer than FEW
+0.15, so more than 22 of 64 have one of about 1e-5. Sets of fewer than FEW
 shingles, whose fingerprints are coarser, pass without that test. Candidates
-are verified on the whole sets, a spanning forest of them first, and then the
-pairs that it has left in different components. A shingle with at most GROUP
-texts yields all its pairs. One with more first yields the pairs with a leader,
-ROUNDS times; after that the pairs of texts that are still in different
-components are compared one by one, so nothing is capped or sampled.
+are compared within the group of their shingle and verified on whole sets: of
+each text the nearest candidate first, and then all pairs that this has left in
+different components. A shingle with more than GROUP texts yields the pairs
+with a leader, ROUNDS times; after that the pairs of texts that are still in
+different components are compared one by one, so nothing is capped or sampled.
 
 Edge cases: texts without words (null, empty, blank) are one class with each
 other; a text with fewer words than a shingle is one shingle; texts of equal
@@ -37,10 +37,10 @@ from .shingles import shingle_hashes, simhash
 
 #: Texts that the order of shingles is estimated on, about, and frequent shingles that are kept of them at most.
 SAMPLE, FREQUENT = 4000, 100_000
-#: Texts of a shingle up to which all their pairs are candidates at once.
-GROUP = 16
+#: Texts of a shingle up to which they are compared within one group.
+GROUP = 1024
 #: Fingerprint bits in which a candidate differs at most, and the size from which sets are tested so.
-FAR, FEW = 26, 32
+FAR, FEW = 22, 32
 #: Passes over larger groups by a leader before the rest is compared one by one.
 ROUNDS = 2
 
@@ -88,46 +88,30 @@ def _prints(batches, shingle: int, share: Fraction, frequent: tuple[np.ndarray,
         )
 
 
-def _groups(batches, share: Fraction, group: int):
-    """Rows (token, node, n, fp, root) come sorted by token: candidates (a, b, forest) of small groups, and (a, token) for members of large ones."""
-    num, den = share.numerator, share.denominator
-
-    def out(a, b, forest, token):
-        arrays = [pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(forest, pa.bool_()), pa.array(token, pa.int64())]
-        return pa.RecordBatch.from_arrays(arrays, names=["a", "b", "forest", "token"])
-
-    def close(token, node, n, fp, root):
-        starts = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]]))
-        size = np.diff(np.append(starts, len(token)))
-        ends = np.repeat(starts + size, size)
-        apart = np.minimum.reduceat(root, starts) != np.maximum.reduceat(root, starts)
-        large = np.repeat((size > group) & apart, size)
-        if large.any():
-            yield out(node[large], pa.nulls(int(large.sum()), pa.int64()), pa.nulls(int(large.sum()), pa.bool_()), token[large])
-        at = np.flatnonzero(np.repeat((size <= group) & apart, size))
-        names = np.unique(root[at], return_inverse=True)[1] if len(at) else at
-        of = np.zeros(len(token), np.int64)
-        of[at] = names
-        trees = np.arange(int(names.max()) + 1) if len(at) else at
-        for d in range(1, group):
-            at = at[at + d < ends[at]]
-            if not len(at):
-                break
-            to = at + d
-            small, big = np.minimum(n[at], n[to]), np.maximum(n[at], n[to])
-            near = (small < FEW) | (np.bitwise_count((fp[at] ^ fp[to]).view(np.uint64)) <= FAR)
-            fits = (root[at] != root[to]) & (small * den >= big * num) & near
-            i, j = at[fits], to[fits]
-            if not len(i):
-                continue
-            first = trees[of[i]] != trees[of[j]]
-            hook(trees, of[i][first], of[j][first])
-            pairs = np.unique(np.stack([np.minimum(node[i], node[j]), np.maximum(node[i], node[j]), first], 1), axis=0)
-            yield out(pairs[:, 0], pairs[:, 1], pairs[:, 2].astype(bool), pa.nulls(len(pairs), pa.int64()))
-
+def _candidates(token, node, n, fp, root, share: Fraction, group: int):
+    """Yield (i, j, bits) of the candidates in groups of equal `token` with at most `group` rows, both directions apart."""
+    starts = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]]))
+    size = np.diff(np.append(starts, len(token)))
+    ends = np.repeat(starts + size, size)
+    apart = np.minimum.reduceat(root, starts) != np.maximum.reduceat(root, starts)
+    at = np.flatnonzero(np.repeat((size <= group) & apart, size))
+    for d in range(1, group):
+        at = at[at + d < ends[at]]
+        if not len(at):
+            return
+        to = at + d
+        small, big = np.minimum(n[at], n[to]), np.maximum(n[at], n[to])
+        bits = np.bitwise_count((fp[at] ^ fp[to]).view(np.uint64))
+        fits = (root[at] != root[to]) & (small * share.denominator >= big * share.numerator) & ((small < FEW) | (bits <= FAR))
+        if fits.any():
+            yield at[fits], to[fits], bits[fits].astype(np.int64)
+
+
+def _by_token(batches, close):
+    """Hand on whole groups of rows that come sorted by their first column, many groups at a time, as arrays."""
     held, rest = [], 0
     for b in batches:
-        now = [b.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in range(5)]
+        now = [b.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in range(b.num_columns)]
         if not len(now[0]):
             continue
         held.append(now)
@@ -142,6 +126,44 @@ def _groups(batches, share: Fraction, group: int):
         yield from close(*(np.concatenate(x) for x in zip(*held)))
 
 
+def _nearest(batches, share: Fraction, group: int):
+    """Rows (token, node, n, fp, root) come sorted by token: of each text that has candidates the nearest (a, b, bits), and (a, token) of each group it has them in; (a, token, large) for the members of larger groups."""
+
+    def out(a, b, bits, token, large):
+        columns = [pa.array(x, t) if isinstance(x, np.ndarray) else pa.nulls(len(a), t) for x, t in ((a, pa.int64()), (b, pa.int64()), (bits, pa.int64()), (token, pa.int64()))]
+        return pa.RecordBatch.from_arrays([*columns, pa.array(np.full(len(a), large))], names=["a", "b", "bits", "token", "large"])
+
+    def close(token, node, n, fp, root):
+        best, least = np.full(len(token), -1), np.full(len(token), 1 << 20)
+        for i, j, bits in _candidates(token, node, n, fp, root, share, group):
+            for x, y in ((i, j), (j, i)):
+                nearer = bits < least[x]
+                best[x[nearer]], least[x[nearer]] = y[nearer], bits[nearer]
+        some = np.flatnonzero(best >= 0)
+        if len(some):
+            yield out(node[some], None, None, token[some], False)
+            order = some[np.lexsort((node[best[some]], least[some], node[some]))]
+            first = order[np.concatenate([[True], node[order][1:] != node[order][:-1]])]
+            yield out(node[first], node[best[first]], least[first], None, False)
+        size = np.unique(token, return_counts=True)[1]
+        many = np.repeat(size > group, size)
+        if many.any():
+            yield out(node[many], None, None, token[many], True)
+
+    yield from _by_token(batches, close)
+
+
+def _pairs(batches, share: Fraction, group: int):
+    """Rows (token, node, n, fp, root) come sorted by token: all candidates (a, b)."""
+
+    def close(token, node, n, fp, root):
+        for i, j, _ in _candidates(token, node, n, fp, root, share, group):
+            pairs = np.unique(np.stack([np.minimum(node[i], node[j]), np.maximum(node[i], node[j])], 1), axis=0)
+            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
+
+    yield from _by_token(batches, close)
+
+
 def _sets(batches, shingle: int):
     for b in batches:
         sets = [shingle_set(t, shingle).view(np.int64) for t in b.column(1).to_pylist()]
@@ -159,10 +181,6 @@ def _verified(batches, share: Fraction):
         yield b.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
 
-def _ends(pairs: DataFrame) -> DataFrame:
-    return pairs.select(F.explode(F.array("a", "b")).alias("node"))
-
-
 class Overlap:
     """Distinct texts of a table with their shingle statistics; `node` is a text's hash."""
 
@@ -174,17 +192,16 @@ class Overlap:
         every = self.rows.select("node", "text").mapInArrow(lambda bs: _prints(bs, shingle, share, frequent), "node long, fp long, n int, prefix array<long>")
         self.prints = materialize(every.dropDuplicates(["node"]), "prints")
 
-    def sets_of(self, nodes: DataFrame) -> DataFrame:
-        """Shingle sets of the texts named."""
-        shingle = self.shingle
-        texts = self.rows.select("node", "text").join(nodes.distinct(), "node", "left_semi")
-        return materialize(texts.mapInArrow(lambda bs: _sets(bs, shingle), "node long, tokens array<long>").dropDuplicates(["node"]), "sets")
-
-    def verify(self, pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    def verify(self, pairs: DataFrame) -> DataFrame:
         """The pairs (a, b), each once, whose sets reach the similarity."""
-        share = self.share
+        shingle, share = self.shingle, self.share
+        pairs = materialize(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a < b").distinct(), "pairs")
+        # Written, so that its size is known and a small one is broadcast instead of shuffling the texts.
+        nodes = materialize(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "nodes")
+        texts = self.rows.select("node", "text").join(nodes, "node", "left_semi").groupBy("node").agg(F.first("text").alias("text"))
+        sets = materialize(texts.select("node", "text").mapInArrow(lambda bs: _sets(bs, shingle), "node long, tokens array<long>"), "sets")
         side = lambda x, name: sets.select(F.col("node").alias(x), F.col("tokens").alias(name))
-        both = pairs.select("a", "b").join(side("a", "left"), "a").join(side("b", "right"), "b").select("a", "b", "left", "right")
+        both = pairs.join(side("a", "left"), "a").join(side("b", "right"), "b").select("a", "b", "left", "right")
         return materialize(both.mapInArrow(lambda bs: _verified(bs, share), "a long, b long"), "verified")
 
     def _named(self, edges: DataFrame) -> DataFrame:
@@ -193,50 +210,45 @@ class Overlap:
         named = self.prints.select("node", "n", "fp").join(roots, "node", "left")
         return materialize(named.select("node", "n", "fp", F.coalesce("root", "node").alias("root")), "named")
 
+    def _apart(self, members: DataFrame, named: DataFrame) -> DataFrame:
+        """Rows (token, node, n, fp, root) of the groups (token, node) that are not in one component."""
+        found = members.select("token", "node").join(named, "node").select("token", "node", "n", "fp", "root")
+        apart = found.groupBy("token").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x < y").select("token")
+        return materialize(join_totals(found, apart, "token", "left_semi"), "open")
+
     def components(self, pairs: DataFrame) -> DataFrame:
         """Rows (doc_id, component_id), one per row of the table, by all links; `pairs` (a, b) are checked first."""
         share, group = self.share, self.group
         blank = self.prints.where("n = 0")
         blanks = blank.crossJoin(F.broadcast(blank.agg(F.min("node").alias("b")))).select(F.col("node").alias("a"), "b").where("a <> b")
-        pairs = materialize(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a < b").distinct(), "pairs")
-        edges = blanks.unionAll(self.verify(pairs, self.sets_of(_ends(pairs))))
-        named = self._named(edges)
+        edges = blanks.unionAll(self.verify(pairs))
+
+        sort = lambda rows: rows.repartition("token").sortWithinPartitions("token", "node")
+        tokens = self.prints.select("node", F.explode("prefix").alias("token")).join(self._named(edges), "node").select("token", "node", "n", "fp", "root")
+        near = materialize(sort(tokens).mapInArrow(lambda bs: _nearest(bs, share, group), "a long, b long, bits long, token long, large boolean"), "near")
+        best = near.where("b is not null").groupBy("a").agg(F.min(F.struct("bits", "b")).alias("best")).select("a", "best.b")
+        edges = edges.unionAll(self.verify(best))
 
-        tokens = self.prints.select("node", F.explode("prefix").alias("token")).join(named, "node").select("token", "node", "n", "fp", "root")
-        tokens = tokens.repartition("token").sortWithinPartitions("token", "node")
-        joined = materialize(tokens.mapInArrow(lambda bs: _groups(bs, share, group), "a long, b long, forest boolean, token long"), "joined")
-        small = joined.where("b is not null").groupBy("a", "b").agg(F.max("forest").alias("forest"))
-        large = joined.where("b is null").select("token", F.col("a").alias("node"))
-        if joined.isEmpty():
-            return self._by_id(edges)
-        sets = self.sets_of(_ends(joined.where("b is not null")).unionAll(large.select("node")))
-        edges = edges.unionAll(self.verify(small.where("forest"), sets))
         named = self._named(edges)
-        side = lambda x: named.select(F.col("node").alias(x), F.col("root").alias(f"{x}_root"))
-        rest = small.where("not forest").join(side("a"), "a").join(side("b"), "b").where("a_root <> b_root")
-        edges = edges.unionAll(self.verify(rest, sets))
+        members = near.where("token is not null").select("token", F.col("a").alias("node"), "large")
+        rest = sort(self._apart(members.where("not large"), named)).mapInArrow(lambda bs: _pairs(bs, share, group), "a long, b long")
+        edges = edges.unionAll(self.verify(rest))
 
         alike = (F.least("n", "m") * share.denominator >= F.greatest("n", "m") * share.numerator) & ((F.least("n", "m") < FEW) | (F.bit_count(F.col("fp").bitwiseXOR(F.col("print"))) <= FAR))
+        large = members.where("large")
         for r in range(ROUNDS + 1):
             if large.isEmpty():
                 break
-            named = self._named(edges)
-            members = large.join(named, "node")
-            apart = members.groupBy("token").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x < y").select("token")
-            members = materialize(join_totals(members, apart, "token", "left_semi"), "open")
-            large = members.select("token", "node")
+            large = self._apart(large, self._named(edges))
             if r < ROUNDS:
-                first = members.groupBy("token").agg(F.min_by(F.struct("node", "n", "fp", "root"), F.xxhash64("node", F.lit(r))).alias("l"))
+                first = large.groupBy("token").agg(F.min_by(F.struct("node", "n", "fp", "root"), F.xxhash64("node", F.lit(r))).alias("l"))
                 other = first.select("token", F.col("l.node").alias("b"), F.col("l.n").alias("m"), F.col("l.fp").alias("print"), F.col("l.root").alias("other"))
-                met = join_totals(members, other, "token").where("root <> other")
+                met = join_totals(large, other, "token").where("root <> other")
             else:
-                other = members.select("token", F.col("node").alias("b"), F.col("n").alias("m"), F.col("fp").alias("print"), F.col("root").alias("other"))
-                met = members.join(other, "token").where("root < other")
-            met = met.where(alike).select(F.least("node", "b").alias("a"), F.greatest("node", "b").alias("b")).distinct()
-            edges = edges.unionAll(self.verify(met, sets))
-        return self._by_id(edges)
+                other = large.select("token", F.col("node").alias("b"), F.col("n").alias("m"), F.col("fp").alias("print"), F.col("root").alias("other"))
+                met = large.join(other, "token").where("root < other")
+            edges = edges.unionAll(self.verify(met.where(alike).select(F.col("node").alias("a"), "b")))
 
-    def _by_id(self, edges: DataFrame) -> DataFrame:
         roots = connected_components(edges)
         out = self.rows.select("doc_id", "node").join(roots, "node", "left").select("doc_id", F.coalesce("root", "node").alias("root"))
         out = materialize(out, "roots")
