@@ -109,7 +109,7 @@ def _op9_sql() -> str:
     m = source_mixing
     weights = " ".join(f"when {i} then {w}" for i, w in enumerate(m.WEIGHTS))
     return f"""
-    with d as (select doc_id, source, len({WORDS_SQL})::bigint as size, md5('42:' || coalesce(doc_id::varchar, '-')) as k from documents),
+    with d as (select doc_id, source, len({WORDS_SQL})::bigint as size, md5('42:' || coalesce(doc_id::varchar, '-') || ':' || md5(coalesce(text, ''))) as k from documents),
     per as (select source, sum(size)::bigint as source_size, row_number() over (order by source nulls last) - 1 as r from d group by source),
     cap as (select source, source_size, (case r % {len(m.WEIGHTS)} {weights} end)::double as w, source_size::double * {m.MOST_EPOCHS} as c, r from per),
     left_ as (

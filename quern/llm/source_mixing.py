@@ -1,14 +1,16 @@
 """Mixing sources to target weights, in DataFrame expressions only.
 
-Documents get hash-random keys; within a source they are ordered by the key;
+Documents get hash-random keys from their id and text, so that many rows of one
+id, or of none, lie in many ranges; within a source they are ordered by the key;
 word counts are summed along that order in two steps (per key range, then
 within the range, so that no source is one task); the order is repeated for as
 many whole epochs as the target asks and then cut at the exact budget.
 
 Edge cases: a null text has size 0; a null source is a source of its own, last
-in order; rows that repeat a doc_id are ordered by their text's hash and their size;
-identical rows are counted each on its own; with no words at all every target
-is 0; an empty table gives an empty result.
+in order; rows that repeat a doc_id have keys of their own by their texts;
+identical rows are counted each on its own; equal keys go by id, then by the
+text's hash; very long texts are counted whole; with no words at all every
+target is 0; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -58,12 +60,12 @@ def _taken(size: Column, before: Column, source_size: Column, target: Column) ->
 
 def mix(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", source_col: str = "source", seed: int = 42) -> DataFrame:
     """Rows (id, size, source_size, target, taken), one per row of the input, plus its row hash `_row`."""
-    sizes = spread(docs.select(id_col, text_col, source_col)).select(
+    sizes = spread(docs.select(*(F.col(f"`{c}`") for c in (id_col, text_col, source_col)))).select(
         F.col(f"`{id_col}`").alias("doc_id"),
         F.coalesce(F.concat(F.lit("="), F.col(f"`{source_col}`").cast("string")), F.lit("~")).alias("_source"),
         F.size(words_of(F.coalesce(F.col(f"`{text_col}`"), F.lit("")))).cast("long").alias("size"),
         F.xxhash64(F.col(f"`{text_col}`")).alias("_row"),
-        F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(f"`{id_col}`").cast("string"), F.lit("-")))).alias("_key"),
+        F.md5(F.concat_ws(":", F.lit(seed), F.coalesce(F.col(f"`{id_col}`").cast("string"), F.lit("-")), F.md5(F.coalesce(F.col(f"`{text_col}`"), F.lit(""))))).alias("_key"),
     )
     sizes = materialize(sizes, "sizes")
     # Keys are hex digits, so a prefix of them is a range; the result does not depend on its length.
@@ -91,6 +93,6 @@ def mixed_documents(docs: DataFrame, text_col: str = "text", id_col: str = "doc_
         .agg(F.round(F.sum(F.floor(F.col("taken") / F.col("size") + 0.5)) / F.count("*")).cast("int").alias(n))
         .where(F.col(n) > 0)
     )
-    same = docs[id_col].eqNullSafe(copies[doc]) & (F.xxhash64(docs[text_col]) == copies[row])
+    same = F.col(f"`{id_col}`").eqNullSafe(F.col(doc)) & (F.xxhash64(F.col(f"`{text_col}`")) == F.col(row))
     joined = docs.join(copies, same)
-    return joined.select(*(docs[c] for c in docs.columns), F.explode(F.sequence(F.lit(1), F.col(n))).alias(n)).drop(n)
+    return joined.select(*(F.col(f"`{c}`") for c in docs.columns), F.explode(F.sequence(F.lit(1), F.col(n))).alias(n)).drop(n)

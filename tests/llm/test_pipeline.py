@@ -1,4 +1,3 @@
-import hashlib
 import random
 from collections import Counter
 
@@ -51,9 +50,40 @@ def test_near_duplicates_with_null_and_repeated_ids(spark):
     assert got == sorted([("None", texts[0]), ("None", texts[1]), ("7", texts[2]), ("9", texts[3])])
 
 
+def test_near_duplicates_with_clashing_columns_and_long_texts(spark):
+    docs, rows = corpus(spark)
+    long = " ".join(f"w{i % 9999}" for i in range(120_000))
+    more = spark.createDataFrame([(300, long, "en", "s", len(long)), (301, long + " tail", "en", "s", len(long) + 5), (302, None, "en", "s", 0), (303, "", "en", "s", 0)], docs.schema)
+    both = docs.unionAll(more).selectExpr("*", "1 as _n", "2 as _id", "3 as _hash", "4 as _number", "5 as name", "6 as node", "7 as `a.b`")
+    out = P.near_duplicates(spark, materialize(both, "clash"), "")
+    assert out.columns == both.columns
+    got = {r["doc_id"] for r in out.collect()}
+    # Texts without words are one group, also with the row 201 of the corpus; the long texts are another.
+    assert got == {d for d, *_ in rows if d < 100 or d in (200, 201, 202)} | {300}
+
+
+def test_empty_table(spark):
+    docs, _ = corpus(spark)
+    docs = materialize(docs.limit(0), "none")
+    for name, stage in P.STAGES:
+        out = stage(spark, docs, "")
+        assert out.count() == 0, name
+        docs = materialize(out, "none") if name != P.STAGES[-1][0] else docs
+
+
+def test_run_over_a_table(spark, tmp_path):
+    docs, rows = corpus(spark)
+    docs.repartition(3).write.parquet(str(tmp_path / "documents.parquet"))
+    packed = P.run(spark, str(tmp_path)).collect()
+    room = Counter()
+    for r in packed:
+        room[r["sequence_id"]] += r["length"]
+    # Copies, short texts and texts without words are gone; no sequence is over its capacity.
+    assert {r["doc_id"] for r in packed} <= {d for d, *_ in rows if d < 100 or d == 202} and max(room.values()) <= best_fit_packing.CAPACITY
+
+
 def test_queries_run_over_whole_tables(spark):
     sf = "/root/testdata/sf0.001"
     n = spark.read.parquet(f"{sf}/documents.parquet").count()
     for name in ("op3_license_scan", "op7_sharding", "op9_source_mixing", "op10_secret_scan"):
         assert queries.queries()[name](spark, sf).count() == n
-    assert hashlib.sha256(b"").hexdigest() and best_fit_packing.CAPACITY == 2048
