@@ -14,8 +14,8 @@ from .common import join_totals, materialize
 
 
 def _ordered(edges: DataFrame) -> DataFrame:
-    """Each edge once, as hi > lo."""
-    return edges.select(F.greatest("a", "b").alias("hi"), F.least("a", "b").alias("lo")).where("hi > lo").distinct()
+    """Edges as hi > lo."""
+    return edges.select(F.greatest("a", "b").alias("hi"), F.least("a", "b").alias("lo")).where("hi > lo")
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
@@ -42,12 +42,13 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     Nodes without a link to another node are absent. Only two scalars a round
     reach the driver; each round's edges are a table in the shared folder.
     """
-    now = materialize(_ordered(edges), "edges")
+    now = materialize(_ordered(edges).distinct(), "edges")
     state = _state(now)
     for _ in range(max_rounds):
         if not state[0]:
             break
-        now = materialize(_ordered(_small_star(_ordered(_large_star(now)))), "edges")
+        # Repeated edges between the two steps do no harm.
+        now = materialize(_ordered(_small_star(_ordered(_large_star(now)))).distinct(), "edges")
         before, state = state, _state(now)
         if state == before:
             break

@@ -191,6 +191,7 @@ class Overlap:
         share, frequent = self.share, _frequent(self.rows, shingle)
         every = self.rows.select("node", "text").mapInArrow(lambda bs: _prints(bs, shingle, share, frequent), "node long, fp long, n int, prefix array<long>")
         self.prints = materialize(every.dropDuplicates(["node"]), "prints")
+        self.named = self.prints.select("node", "n", "fp", F.col("node").alias("root"))
 
     def verify(self, pairs: DataFrame) -> DataFrame:
         """The pairs (a, b), each once, whose sets reach the similarity."""
@@ -204,15 +205,18 @@ class Overlap:
         both = pairs.join(side("a", "left"), "a").join(side("b", "right"), "b").select("a", "b", "left", "right")
         return materialize(both.mapInArrow(lambda bs: _verified(bs, share), "a long, b long"), "verified")
 
-    def _named(self, edges: DataFrame) -> DataFrame:
-        """Each text with its component by the links so far."""
-        roots = connected_components(edges)
-        named = self.prints.select("node", "n", "fp").join(roots, "node", "left")
-        return materialize(named.select("node", "n", "fp", F.coalesce("root", "node").alias("root")), "named")
+    def settle(self, edges: DataFrame) -> None:
+        """Merge the components of `named` that the edges (a, b), a written table, join. Only the components' names take part in the rounds."""
+        if edges.isEmpty():
+            return
+        side = lambda x: self.named.select(F.col("node").alias(x), F.col("root").alias(f"{x}_root"))
+        between = edges.join(side("a"), "a").join(side("b"), "b").where("a_root <> b_root").select(F.col("a_root").alias("a"), F.col("b_root").alias("b"))
+        roots = connected_components(between).select(F.col("node").alias("root"), F.col("root").alias("to"))
+        self.named = materialize(self.named.join(roots, "root", "left").select("node", "n", "fp", F.coalesce("to", "root").alias("root")), "named")
 
-    def _apart(self, members: DataFrame, named: DataFrame) -> DataFrame:
+    def _apart(self, members: DataFrame) -> DataFrame:
         """Rows (token, node, n, fp, root) of the groups (token, node) that are not in one component."""
-        found = members.select("token", "node").join(named, "node").select("token", "node", "n", "fp", "root")
+        found = members.select("token", "node").join(self.named, "node").select("token", "node", "n", "fp", "root")
         apart = found.groupBy("token").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x < y").select("token")
         return materialize(join_totals(found, apart, "token", "left_semi"), "open")
 
@@ -221,25 +225,25 @@ class Overlap:
         share, group = self.share, self.group
         blank = self.prints.where("n = 0")
         blanks = blank.crossJoin(F.broadcast(blank.agg(F.min("node").alias("b")))).select(F.col("node").alias("a"), "b").where("a <> b")
-        edges = blanks.unionAll(self.verify(pairs))
+        self.settle(blanks)
+        self.settle(self.verify(pairs))
 
         sort = lambda rows: rows.repartition("token").sortWithinPartitions("token", "node")
-        tokens = self.prints.select("node", F.explode("prefix").alias("token")).join(self._named(edges), "node").select("token", "node", "n", "fp", "root")
+        tokens = self.prints.select("node", F.explode("prefix").alias("token")).join(self.named, "node").select("token", "node", "n", "fp", "root")
         near = materialize(sort(tokens).mapInArrow(lambda bs: _nearest(bs, share, group), "a long, b long, bits long, token long, large boolean"), "near")
         best = near.where("b is not null").groupBy("a").agg(F.min(F.struct("bits", "b")).alias("best")).select("a", "best.b")
-        edges = edges.unionAll(self.verify(best))
+        self.settle(self.verify(best))
 
-        named = self._named(edges)
         members = near.where("token is not null").select("token", F.col("a").alias("node"), "large")
-        rest = sort(self._apart(members.where("not large"), named)).mapInArrow(lambda bs: _pairs(bs, share, group), "a long, b long")
-        edges = edges.unionAll(self.verify(rest))
+        rest = sort(self._apart(members.where("not large"))).mapInArrow(lambda bs: _pairs(bs, share, group), "a long, b long")
+        self.settle(self.verify(rest))
 
         alike = (F.least("n", "m") * share.denominator >= F.greatest("n", "m") * share.numerator) & ((F.least("n", "m") < FEW) | (F.bit_count(F.col("fp").bitwiseXOR(F.col("print"))) <= FAR))
         large = members.where("large")
         for r in range(ROUNDS + 1):
+            large = large if large.isEmpty() else self._apart(large)
             if large.isEmpty():
                 break
-            large = self._apart(large, self._named(edges))
             if r < ROUNDS:
                 first = large.groupBy("token").agg(F.min_by(F.struct("node", "n", "fp", "root"), F.xxhash64("node", F.lit(r))).alias("l"))
                 other = first.select("token", F.col("l.node").alias("b"), F.col("l.n").alias("m"), F.col("l.fp").alias("print"), F.col("l.root").alias("other"))
@@ -247,9 +251,7 @@ class Overlap:
             else:
                 other = large.select("token", F.col("node").alias("b"), F.col("n").alias("m"), F.col("fp").alias("print"), F.col("root").alias("other"))
                 met = large.join(other, "token").where("root < other")
-            edges = edges.unionAll(self.verify(met.where(alike).select(F.col("node").alias("a"), "b")))
+            self.settle(self.verify(met.where(alike).select(F.col("node").alias("a"), "b")))
 
-        roots = connected_components(edges)
-        out = self.rows.select("doc_id", "node").join(roots, "node", "left").select("doc_id", F.coalesce("root", "node").alias("root"))
-        out = materialize(out, "roots")
+        out = materialize(self.rows.select("doc_id", "node").join(self.named.select("node", "root"), "node").select("doc_id", "root"), "roots")
         return join_totals(out, out.groupBy("root").agg(F.min("doc_id").alias("component_id")), "root").select("doc_id", "component_id")
