@@ -11,10 +11,11 @@ import public_tokenizers as P
 import pytest
 from test_secret_scan import brute as brute_secrets
 from test_simhash_dedup import brute as brute_components
+from test_simhash_dedup import slow_fingerprint
 from test_suffix_dedup import brute as brute_suffix
 from tokenizers import Tokenizer
 
-from quern.llm import license_scan, queries, simhash_dedup
+from quern.llm import license_scan, queries
 
 Q = queries.queries()
 
@@ -61,7 +62,7 @@ def test_licenses(spark, sf):
 
 
 def test_simhash(spark, sf):
-    prints = {d: simhash_dedup.fingerprint(t) for d, (t, _) in sf[1].items()}
+    prints = {d: slow_fingerprint(t) for d, (t, _) in sf[1].items()}
     root, least = brute_components(set(prints.values())), {}
     for d, f in prints.items():
         least[root[f]] = min(d, least.get(root[f], d))
