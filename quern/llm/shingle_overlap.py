@@ -1,4 +1,4 @@
-"""Exact Jaccard similarity of word shingles for SimHash near-dedup: the check of its links, and the pairs beyond its reach.
+"""Jaccard similarity of word shingles for SimHash near-dedup: the pairs beyond the reach of its anchors, and the exact check of all.
 
 Two texts are linked where |A & B| / |A | B| of their shingle sets is at least
 the similarity. In one common order of all shingles, two sets of similarity t
@@ -7,15 +7,17 @@ there hold every link. The order puts shingles that are frequent in a bounded
 sample last; any order is right, this one keeps the groups of a shingle small.
 
 A pair that shares a rare shingle is a candidate if its sizes allow the
-similarity, if it is not in one component already, and if its fingerprints
-differ in at most FAR bits: at similarity 0.8 a bit differs with probability
-0.15, so more than 22 of 64 have one of about 1e-5. Sets of fewer than FEW
-shingles, whose fingerprints are coarser, pass without that test. Candidates
-are compared within the group of their shingle and verified on whole sets: of
-each text the nearest candidate first, and then all pairs that this has left in
-different components. A shingle with more than GROUP texts yields the pairs
-with a leader, ROUNDS times; after that the pairs of texts that are still in
-different components are compared one by one, so nothing is capped or sampled.
+similarity, and if its fingerprints differ in at most FAR bits: at similarity
+0.8 a bit differs with probability 0.15, so more than 22 of 64 have one of about
+1e-5. Sets of fewer than FEW shingles, whose fingerprints are coarser, pass
+without that test.
+
+No pair is written. A shingle yields a spanning forest of its candidates, or,
+from GROUP texts on, a star of all its texts; so both ends of a candidate lie in
+one component of these edges. The texts of a component then meet in one task,
+which compares their whole sets and yields a spanning forest of the links. A
+component of more than UNIT texts or SHINGLES shingles is dealt out as pairs of
+hash blocks, each pair of texts in one of them; nothing is capped or sampled.
 
 Edge cases: texts without words (null, empty, blank) are one class with each
 other; a text with fewer words than a shingle is one shingle; texts of equal
@@ -41,8 +43,8 @@ SAMPLE, FREQUENT = 4000, 100_000
 GROUP = 1024
 #: Fingerprint bits in which a candidate differs at most, and the size from which sets are tested so.
 FAR, FEW = 22, 32
-#: Passes over larger groups by a leader before the rest is compared one by one.
-ROUNDS = 2
+#: Texts and shingles of one block, about; a task compares two blocks at most.
+UNIT, SHINGLES = 4096, 1_000_000
 
 
 def shingle_set(text: str | None, shingle: int) -> np.ndarray:
@@ -88,23 +90,10 @@ def _prints(batches, shingle: int, share: Fraction, frequent: tuple[np.ndarray,
         )
 
 
-def _candidates(token, node, n, fp, root, share: Fraction, group: int):
-    """Yield (i, j, bits) of the candidates in groups of equal `token` with at most `group` rows, both directions apart."""
-    starts = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]]))
-    size = np.diff(np.append(starts, len(token)))
-    ends = np.repeat(starts + size, size)
-    apart = np.minimum.reduceat(root, starts) != np.maximum.reduceat(root, starts)
-    at = np.flatnonzero(np.repeat((size <= group) & apart, size))
-    for d in range(1, group):
-        at = at[at + d < ends[at]]
-        if not len(at):
-            return
-        to = at + d
-        small, big = np.minimum(n[at], n[to]), np.maximum(n[at], n[to])
-        bits = np.bitwise_count((fp[at] ^ fp[to]).view(np.uint64))
-        fits = (root[at] != root[to]) & (small * share.denominator >= big * share.numerator) & ((small < FEW) | (bits <= FAR))
-        if fits.any():
-            yield at[fits], to[fits], bits[fits].astype(np.int64)
+def _fits(n, m, bits, share: Fraction):
+    """Which pairs of set sizes and differing bits may reach the similarity."""
+    small, big = np.minimum(n, m), np.maximum(n, m)
+    return (small * share.denominator >= big * share.numerator) & ((small < FEW) | (bits <= FAR))
 
 
 def _by_token(batches, close):
@@ -126,132 +115,111 @@ def _by_token(batches, close):
         yield from close(*(np.concatenate(x) for x in zip(*held)))
 
 
-def _nearest(batches, share: Fraction, group: int):
-    """Rows (token, node, n, fp, root) come sorted by token: of each text that has candidates the nearest (a, b, bits), and (a, token) of each group it has them in; (a, token, large) for the members of larger groups."""
-
-    def out(a, b, bits, token, large):
-        columns = [pa.array(x, t) if isinstance(x, np.ndarray) else pa.nulls(len(a), t) for x, t in ((a, pa.int64()), (b, pa.int64()), (bits, pa.int64()), (token, pa.int64()))]
-        return pa.RecordBatch.from_arrays([*columns, pa.array(np.full(len(a), large))], names=["a", "b", "bits", "token", "large"])
-
-    def close(token, node, n, fp, root):
-        best, least = np.full(len(token), -1), np.full(len(token), 1 << 20)
-        for i, j, bits in _candidates(token, node, n, fp, root, share, group):
-            for x, y in ((i, j), (j, i)):
-                nearer = bits < least[x]
-                best[x[nearer]], least[x[nearer]] = y[nearer], bits[nearer]
-        some = np.flatnonzero(best >= 0)
-        if len(some):
-            yield out(node[some], None, None, token[some], False)
-            order = some[np.lexsort((node[best[some]], least[some], node[some]))]
-            first = order[np.concatenate([[True], node[order][1:] != node[order][:-1]])]
-            yield out(node[first], node[best[first]], least[first], None, False)
-        size = np.unique(token, return_counts=True)[1]
-        many = np.repeat(size > group, size)
-        if many.any():
-            yield out(node[many], None, None, token[many], True)
-
-    yield from _by_token(batches, close)
-
-
-def _pairs(batches, share: Fraction, group: int):
-    """Rows (token, node, n, fp, root) come sorted by token: all candidates (a, b)."""
-
-    def close(token, node, n, fp, root):
-        for i, j, _ in _candidates(token, node, n, fp, root, share, group):
-            pairs = np.unique(np.stack([np.minimum(node[i], node[j]), np.maximum(node[i], node[j])], 1), axis=0)
-            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
+def _forest(batches, share: Fraction, group: int):
+    """Rows (token, node, n, fp) come sorted by token: edges (a, b) that span the candidates of each token."""
+
+    def close(token, node, n, fp):
+        starts = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]]))
+        size = np.diff(np.append(starts, len(token)))
+        several = np.repeat(size > 1, size)
+        node, n, fp, size = node[several], n[several], fp[several], size[size > 1]
+        starts = np.cumsum(size) - size
+        ends, large = np.repeat(starts + size, size), np.repeat(size > group, size)
+        us, vs, roots = [np.flatnonzero(large)], [np.repeat(starts, size)[large]], np.arange(len(node))
+        at = np.flatnonzero(~large)
+        for d in range(1, group):
+            at = at[at + d < ends[at]]
+            if not len(at):
+                break
+            hit = at[_fits(n[at], n[at + d], np.bitwise_count((fp[at] ^ fp[at + d]).view(np.uint64)), share)]
+            hit = hit[roots[hit] != roots[hit + d]]
+            if len(hit):
+                us.append(hit)
+                vs.append(hit + d)
+                hook(roots, hit, hit + d)
+        pairs = np.stack([node[np.concatenate(us)], node[np.concatenate(vs)]], 1)
+        pairs = np.unique(np.sort(pairs[pairs[:, 0] != pairs[:, 1]], axis=1), axis=0)
+        yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
 
     yield from _by_token(batches, close)
 
 
-def _sets(batches, shingle: int):
-    for b in batches:
-        sets = [shingle_set(t, shingle).view(np.int64) for t in b.column(1).to_pylist()]
-        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["node", "tokens"])
-
-
-def _verified(batches, share: Fraction):
-    for b in batches:
-        left, right = b.column(2), b.column(3)
-        keep = []
-        for i in range(b.num_rows):
-            x, y = left[i].values.to_numpy(), right[i].values.to_numpy()
-            common = len(np.intersect1d(x, y, assume_unique=True))
-            keep.append(common * share.denominator >= share.numerator * (len(x) + len(y) - common))
-        yield b.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+def linked(sets: list[np.ndarray], fp: np.ndarray, part: np.ndarray, share: Fraction) -> tuple[np.ndarray, np.ndarray]:
+    """Index pairs that span the links among the sets; of two parts, the links between them only."""
+    n = np.array([len(s) for s in sets], np.int64)
+    starts = np.cumsum(n) - n
+    known, ids = np.unique(np.concatenate([np.zeros(0, np.uint64), *sets]), return_inverse=True)
+    order = np.argsort(n, kind="stable")
+    n, starts, fp, part = n[order], starts[order], fp[order], part[order]
+    between = len(sets) > 0 and part.min() != part.max()
+    roots, held, us, vs = np.arange(len(n)), np.zeros(len(known), bool), [], []
+    for i in range(len(n)):
+        last = np.searchsorted(n, n[i] * share.denominator // share.numerator, side="right")
+        to = np.arange(i + 1, last)
+        apart = roots[to] != roots[i]
+        if between:
+            apart &= part[to] != part[i]
+        to = to[apart]
+        to = to[_fits(n[i], n[to], np.bitwise_count((fp[i] ^ fp[to]).view(np.uint64)), share)]
+        if not len(to):
+            continue
+        own = ids[starts[i] : starts[i] + n[i]]
+        held[own] = True
+        ends = np.cumsum(n[to])
+        items = np.arange(ends[-1]) + np.repeat(starts[to] - ends + n[to], n[to])
+        found = np.concatenate([[0], np.cumsum(held[ids[items]])])
+        held[own] = False
+        common = found[ends] - found[ends - n[to]]
+        to = to[common * share.denominator >= share.numerator * (n[i] + n[to] - common)]
+        to = to[np.unique(roots[to], return_index=True)[1]]
+        if len(to):
+            us.append(np.full(len(to), i))
+            vs.append(to)
+            merged = np.append(roots[to], roots[i])
+            roots[np.isin(roots, merged)] = merged.min()
+    none = np.zeros(0, np.int64)
+    return (order[np.concatenate(us)], order[np.concatenate(vs)]) if us else (none, none)
 
 
 class Overlap:
     """Distinct texts of a table with their shingle statistics; `node` is a text's hash."""
 
-    def __init__(self, docs: DataFrame, text_col: str, id_col: str, shingle: int, similarity: float, group: int = GROUP) -> None:
-        self.shingle, self.share, self.group = shingle, Fraction(str(similarity)), group
+    def __init__(self, docs: DataFrame, text_col: str, id_col: str, shingle: int, similarity: float, group: int = GROUP, unit: int = UNIT) -> None:
+        self.shingle, self.share, self.group, self.unit = shingle, Fraction(str(similarity)), group, unit
         text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
         self.rows = spread(docs.select(F.col(f"`{id_col}`").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("node")))
         share, frequent = self.share, _frequent(self.rows, shingle)
         every = self.rows.select("node", "text").mapInArrow(lambda bs: _prints(bs, shingle, share, frequent), "node long, fp long, n int, prefix array<long>")
         self.prints = materialize(every.dropDuplicates(["node"]), "prints")
-        self.named = self.prints.select("node", "n", "fp", F.col("node").alias("root"))
 
-    def verify(self, pairs: DataFrame) -> DataFrame:
-        """The pairs (a, b), each once, whose sets reach the similarity."""
+    def _candidates(self) -> DataFrame:
+        """Edges (a, b) whose components hold both ends of each candidate."""
+        share, group = self.share, self.group
+        tokens = self.prints.select(F.explode("prefix").alias("token"), "node", "n", "fp")
+        return tokens.repartition("token").sortWithinPartitions("token", "node").mapInArrow(lambda bs: _forest(bs, share, group), "a long, b long")
+
+    def _linked(self, met: DataFrame) -> DataFrame:
+        """Edges (a, b) that span the links inside the components `met` (node, root)."""
         shingle, share = self.shingle, self.share
-        pairs = materialize(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a < b").distinct(), "pairs")
-        # Written, so that its size is known and a small one is broadcast instead of shuffling the texts.
-        nodes = materialize(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "nodes")
-        texts = self.rows.select("node", "text").join(nodes, "node", "left_semi").groupBy("node").agg(F.first("text").alias("text"))
-        sets = materialize(texts.select("node", "text").mapInArrow(lambda bs: _sets(bs, shingle), "node long, tokens array<long>"), "sets")
-        side = lambda x, name: sets.select(F.col("node").alias(x), F.col("tokens").alias(name))
-        both = pairs.join(side("a", "left"), "a").join(side("b", "right"), "b").select("a", "b", "left", "right")
-        return materialize(both.mapInArrow(lambda bs: _verified(bs, share), "a long, b long"), "verified")
-
-    def settle(self, edges: DataFrame) -> None:
-        """Merge the components of `named` that the edges (a, b), a written table, join. Only the components' names take part in the rounds."""
-        if edges.isEmpty():
-            return
-        side = lambda x: self.named.select(F.col("node").alias(x), F.col("root").alias(f"{x}_root"))
-        between = edges.join(side("a"), "a").join(side("b"), "b").where("a_root <> b_root").select(F.col("a_root").alias("a"), F.col("b_root").alias("b"))
-        roots = connected_components(between).select(F.col("node").alias("root"), F.col("root").alias("to"))
-        self.named = materialize(self.named.join(roots, "root", "left").select("node", "n", "fp", F.coalesce("to", "root").alias("root")), "named")
-
-    def _apart(self, members: DataFrame) -> DataFrame:
-        """Rows (token, node, n, fp, root) of the groups (token, node) that are not in one component."""
-        found = members.select("token", "node").join(self.named, "node").select("token", "node", "n", "fp", "root")
-        apart = found.groupBy("token").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x < y").select("token")
-        return materialize(join_totals(found, apart, "token", "left_semi"), "open")
+        members = materialize(met.join(self.prints.select("node", "fp", "n"), "node"), "members")
+        parts = F.ceil(F.greatest(F.count("*") / self.unit, F.sum("n") / SHINGLES)).cast("int")
+        dealt = join_totals(members, members.groupBy("root").agg(parts.alias("parts")), "root").withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
+        dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+        dealt = dealt.select("node", "fp", "root", "part", F.least("part", "other").alias("p"), F.greatest("part", "other").alias("q"))
+        texts = self.rows.select("node", "text").join(members.select("node"), "node", "left_semi").groupBy("node").agg(F.first("text").alias("text"))
+
+        def compare(unit: pa.Table) -> pa.Table:
+            node, fp, part = (unit.column(c).to_numpy() for c in ("node", "fp", "part"))
+            sets = [shingle_set(t.as_py(), shingle) for t in unit.column("text")]
+            a, b = linked(sets, fp, part, share) if len(set(part)) == len({unit["p"][0].as_py(), unit["q"][0].as_py()}) else ((), ())
+            return pa.table({"a": pa.array(node[list(a)], pa.int64()), "b": pa.array(node[list(b)], pa.int64())})
+
+        return dealt.join(texts, "node").groupBy("root", "p", "q").applyInArrow(compare, "a long, b long")
 
     def components(self, pairs: DataFrame) -> DataFrame:
-        """Rows (doc_id, component_id), one per row of the table, by all links; `pairs` (a, b) are checked first."""
-        share, group = self.share, self.group
-        blank = self.prints.where("n = 0")
-        blanks = blank.crossJoin(F.broadcast(blank.agg(F.min("node").alias("b")))).select(F.col("node").alias("a"), "b").where("a <> b")
-        self.settle(blanks)
-        self.settle(self.verify(pairs))
-
-        sort = lambda rows: rows.repartition("token").sortWithinPartitions("token", "node")
-        tokens = self.prints.select("node", F.explode("prefix").alias("token")).join(self.named, "node").select("token", "node", "n", "fp", "root")
-        near = materialize(sort(tokens).mapInArrow(lambda bs: _nearest(bs, share, group), "a long, b long, bits long, token long, large boolean"), "near")
-        best = near.where("b is not null").groupBy("a").agg(F.min(F.struct("bits", "b")).alias("best")).select("a", "best.b")
-        self.settle(self.verify(best))
-
-        members = near.where("token is not null").select("token", F.col("a").alias("node"), "large")
-        rest = sort(self._apart(members.where("not large"))).mapInArrow(lambda bs: _pairs(bs, share, group), "a long, b long")
-        self.settle(self.verify(rest))
-
-        alike = (F.least("n", "m") * share.denominator >= F.greatest("n", "m") * share.numerator) & ((F.least("n", "m") < FEW) | (F.bit_count(F.col("fp").bitwiseXOR(F.col("print"))) <= FAR))
-        large = members.where("large")
-        for r in range(ROUNDS + 1):
-            large = large if large.isEmpty() else self._apart(large)
-            if large.isEmpty():
-                break
-            if r < ROUNDS:
-                first = large.groupBy("token").agg(F.min_by(F.struct("node", "n", "fp", "root"), F.xxhash64("node", F.lit(r))).alias("l"))
-                other = first.select("token", F.col("l.node").alias("b"), F.col("l.n").alias("m"), F.col("l.fp").alias("print"), F.col("l.root").alias("other"))
-                met = join_totals(large, other, "token").where("root <> other")
-            else:
-                other = large.select("token", F.col("node").alias("b"), F.col("n").alias("m"), F.col("fp").alias("print"), F.col("root").alias("other"))
-                met = large.join(other, "token").where("root < other")
-            self.settle(self.verify(met.where(alike).select(F.col("node").alias("a"), "b")))
-
-        out = materialize(self.rows.select("doc_id", "node").join(self.named.select("node", "root"), "node").select("doc_id", "root"), "roots")
+        """Rows (doc_id, component_id), one per row of the table, by all links; `pairs` (a, b) are further candidates."""
+        met = connected_components(pairs.unionAll(self._candidates()))
+        roots = connected_components(self._linked(met))
+        out = self.rows.select("doc_id", "node").join(roots, "node", "left").select("doc_id", F.coalesce("root", "node").alias("root"))
+        out = materialize(out, "roots")
         return join_totals(out, out.groupBy("root").agg(F.min("doc_id").alias("component_id")), "root").select("doc_id", "component_id")

@@ -14,10 +14,10 @@ Anchors with more than BLOCK fingerprints are dealt out as pairs of hash
 blocks, so no task gets an unbounded group.
 
 `near_duplicates` links by similarity instead of bits: texts whose five-word
-shingle sets have a Jaccard similarity of 0.8 or more. Links that the anchors
-find are checked exactly; then pairs beyond the anchors' reach (0.8 is some 10
-bits) follow from a join of rare shingles in `shingle_overlap`, which skips
-what the anchors have already put into one component.
+shingle sets have a Jaccard similarity of 0.8 or more. Pairs that the anchors
+find, and pairs beyond their reach (0.8 is some 10 bits) that share a rare
+shingle, are candidates; `shingle_overlap` brings the texts of each component of
+candidates together and checks them exactly.
 
 `reach=threshold` gives the plain covering, which needs no midpoint: one text's
 own anchor is among all anchors of the other. Both give the same links (tested).
@@ -195,13 +195,13 @@ def simhash_components(docs: DataFrame, text_col: str = "text", id_col: str = "d
 
 def near_duplicates(
     docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", shingle: int = NEAR_SHINGLE, similarity: float = SIMILARITY,
-    threshold: int = THRESHOLD, block: int = BLOCK, group: int = shingle_overlap.GROUP,
+    threshold: int = THRESHOLD, block: int = BLOCK, group: int = shingle_overlap.GROUP, unit: int = shingle_overlap.UNIT,
 ) -> DataFrame:
     """Rows (doc_id, component_id), one per row of the input; component_id is the least id that links of the similarity reach.
 
     doc_id may be any orderable value, also a struct that names a row exactly.
     """
-    overlap = shingle_overlap.Overlap(docs, text_col, id_col, shingle, similarity, group)
+    overlap = shingle_overlap.Overlap(docs, text_col, id_col, shingle, similarity, group, unit)
     classes = overlap.prints.groupBy("fp").agg(F.min("node").alias("first"))
     met = links(classes, threshold, block)
     side = lambda x: classes.select(F.col("fp").alias(x), F.col("first").alias(f"{x}_node"))

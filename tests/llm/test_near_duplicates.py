@@ -57,3 +57,33 @@ def test_texts_without_words_and_empty_table(spark):
     got = {r["doc_id"]: r["component_id"] for r in simhash_dedup.near_duplicates(df).collect()}
     assert got == {3: 1, 2: 1, 1: 1, 5: 4, 4: 4, 6: 6}
     assert simhash_dedup.near_duplicates(df.limit(0)).count() == 0
+
+
+def test_blocks_and_shingles_of_many_texts_equal_brute_force(spark):
+    """Components dealt out as pairs of blocks of a few texts, and stars instead of forests."""
+    rows = near_copies(seed=5, n=9, copies=7) + [(1000, None), (1001, " "), (1002, "one"), (1003, "One")]
+    want = brute([(d, t or "") for d, t in rows[:-4]]) | {1000: 1000, 1001: 1000, 1002: 1002, 1003: 1002}
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for group, unit in ((1024, 3), (2, 2), (1024, 4096)):
+        got = simhash_dedup.near_duplicates(df, group=group, unit=unit).collect()
+        assert {r["doc_id"]: r["component_id"] for r in got} == want
+
+
+def test_rows_grow_with_the_texts_of_a_group_only(spark):
+    """Texts of one pattern below the similarity: candidates of each other all, links none."""
+    r = random.Random(6)
+    word = lambda: "".join(r.choice("abcdefghij") for _ in range(6))
+    words, n = [word() for _ in range(120)], 150
+    rows = []
+    for i in range(n):
+        own = list(words)
+        for k in r.sample(range(120), 4):
+            own[k] = word()
+        rows.append((i, " ".join(own)))
+    assert all(0.35 < jaccard(rows[0][1], t) < 0.8 for _, t in rows[1:])
+    overlap = shingle_overlap.Overlap(spark.createDataFrame(rows, "doc_id long, text string"), "text", "doc_id", 5, 0.8)
+    met = shingle_overlap.connected_components(overlap._candidates())
+    assert met.count() > 0.9 * n and overlap._candidates().distinct().count() < 4 * n < n * (n - 1) // 2
+    assert overlap._linked(met).count() < n
+    want = brute(rows)
+    assert {r["doc_id"]: r["component_id"] for r in overlap.components(spark.createDataFrame([], "a long, b long")).collect()} == want
