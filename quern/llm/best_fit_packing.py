@@ -35,9 +35,11 @@ from .common import kept, materialize, parts_for, spread
 
 CAPACITY = 2048
 END_ID = 0
-#: Rounded sizes, and the least large length as a share of the capacity.
-GROUPS = 48
-LARGE = 0.49
+#: Rounded sizes, and the least large length as a share of the capacity: configurations hold up to three pieces.
+GROUPS = 400
+LARGE = 0.3
+#: Rounds of column generation without any gain after which it ends.
+STALE = 200
 #: Parts in which the pieces of one length are ranked, at least.
 RANK_PARTS = 64
 #: Unbroken runs from this length on are left to the library whose merge is not quadratic in a run.
@@ -88,32 +90,29 @@ def _cut(batches, path: str, pattern: str | None, capacity: int):
 def _best_configuration(sizes: list[int], worth: np.ndarray, capacity: int) -> tuple[float, np.ndarray]:
     """Most valuable multiset of sizes within the capacity."""
     best, pick = np.zeros(capacity + 1), np.full(capacity + 1, -1)
-    size = np.array(sizes)
-    for room in range(1, capacity + 1):
-        fit = np.nonzero(size <= room)[0]
-        best[room] = best[room - 1]
-        if len(fit):
-            value = best[room - size[fit]] + worth[fit]
-            k = int(value.argmax())
-            if value[k] > best[room] + 1e-12:
-                best[room], pick[room] = value[k], fit[k]
+    for k, (size, gain) in enumerate(zip(sizes, worth)):
+        for _ in range(capacity // size):
+            value = best[:-size] + gain
+            better = np.flatnonzero(value > best[size:] + 1e-12)
+            if not len(better):
+                break
+            best[size + better], pick[size + better] = value[better], k
     counts, room = np.zeros(len(sizes), np.int64), capacity
-    while room > 0:
-        if pick[room] < 0:
-            room -= 1
-        else:
-            counts[pick[room]] += 1
-            room -= sizes[pick[room]]
+    while pick[room] >= 0:
+        counts[pick[room]] += 1
+        room -= sizes[pick[room]]
     return float(best[capacity]), counts
 
 
-def configurations(sizes: list[int], demand: list[int], capacity: int, rounds: int = 300) -> list[tuple[np.ndarray, int]]:
+def configurations(sizes: list[int], demand: list[int], capacity: int) -> list[tuple[np.ndarray, int]]:
     """Configurations with whole multiplicities that serve at most the demand; what is left over is small."""
     m = len(sizes)
     basis = np.diag([capacity // s for s in sizes]).astype(float)
     need = np.array(demand, dtype=float)
     use = np.linalg.solve(basis, need)
-    for _ in range(rounds):
+    least, stale = np.inf, 0
+    while stale < STALE:
+        least, stale = (use.sum(), 0) if use.sum() < least - 1e-9 else (least, stale + 1)
         worth = np.linalg.solve(basis.T, np.ones(m))
         value, column = _best_configuration(sizes, worth, capacity)
         if value <= 1 + 1e-7:

@@ -37,6 +37,29 @@ def test_plan_is_near_the_bound():
     assert B.plan(h)[1] <= 1.01 * sum(k * n for k, n in h.items()) / 2048
 
 
+def test_configurations_do_most_of_the_packing(monkeypatch):
+    """Most tokens, and sequences of several pieces, come from configurations; the result stays at the bound."""
+    rng = np.random.default_rng(2)
+    h = dict(Counter((rng.lognormal(6.4, 0.8, 8000).astype(int) % 2047 + 1).tolist()))
+    made, real = [], B.configurations
+    monkeypatch.setattr(B, "configurations", lambda sizes, *more: [made.extend([(np.dot(sizes, c), c.sum(), n)]) or (c, n) for c, n in real(sizes, *more)])
+    tokens = sum(k * n for k, n in h.items())
+    assert B.plan(h)[1] <= 1.003 * -(-tokens // 2048)
+    assert sum(size * n for size, _, n in made) > 0.7 * tokens
+    assert sum(n for _, pieces, n in made if pieces > 1) > 0.4 * sum(n for _, _, n in made)
+
+
+@given(st.lists(st.tuples(st.integers(1, 40), st.floats(0, 1)), min_size=1, max_size=6, unique_by=lambda x: x[0]))
+@settings(max_examples=40, deadline=None)
+def test_best_configuration_by_the_letter(items):
+    sizes, worth = zip(*items)
+    best = [0.0] * 41
+    for room in range(1, 41):
+        best[room] = max([best[room - 1], *(best[room - s] + w for s, w in items if s <= room)])
+    value, counts = B._best_configuration(list(sizes), np.array(worth), 40)
+    assert abs(value - best[40]) < 1e-9 and np.dot(counts, sizes) <= 40 and abs(np.dot(counts, worth) - value) < 1e-9
+
+
 @pytest.fixture(scope="module")
 def library():
     t = Tokenizer.from_file(PATH)
