@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quern.llm import best_fit_packing, host_quality, secret_scan, simhash_dedup, source_mixing
-from quern.llm.common import free_name, materialize, table
+from quern.llm.common import among, free_name, materialize, table
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -31,14 +31,14 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     """One row of each group of five-word Jaccard 0.8 or more, that of least id.
 
     Rows are named by (id, text hash, number in the table), and only names are
-    shuffled: the numbers of the rows that go are taken out of the table.
+    shuffled: the numbers of the rows that go are broadcast as bits.
     """
     number = free_name(docs, "_number")
     numbered = docs.withColumn(number, F.monotonically_increasing_id())
     name = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.xxhash64("text").alias("text"), F.col(number).alias("number"))
     groups = simhash_dedup.near_duplicates(numbered.select(name.alias("name"), "text"), id_col="name")
     gone = groups.where("doc_id <> component_id").select(F.col("doc_id.number").alias(number))
-    return numbered.join(gone, number, "left_anti").select(*(F.col(f"`{c}`") for c in docs.columns))
+    return among(numbered, gone, "left_anti").select(*(F.col(f"`{c}`") for c in docs.columns))
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import sys
 import tempfile
 import types
@@ -47,14 +48,52 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/quern-{uuid.uuid4().hex}/{name}"
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write a table to the shared folder and read it back: lineage ends there, and a lost executor costs no recomputation."""
+#: Spark 4.1 and later: an execution's shuffle files go when it ends, not when the driver happens to collect its garbage.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+@contextlib.contextmanager
+def _cleaned_up(spark: SparkSession):
+    before = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(CLEANUP) if before is None else spark.conf.set(CLEANUP, before)
+
+
+def materialize(df: DataFrame, name: str, release: bool = False) -> DataFrame:
+    """Write a table to the shared folder and read it back: lineage ends there, and a lost executor costs no recomputation.
+
+    release: the shuffle files of the write go as soon as the table is there.
+    """
     spark = df.sparkSession
     path = fresh_path(spark, name)
-    df.write.parquet(path)
+    with _cleaned_up(spark) if release else contextlib.nullcontext():
+        df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Words of 64 numbers up to which a set of numbers is broadcast whatever Spark's threshold is, about 100 MB.
+WORDS = 2_000_000
+
+
+def among(rows: DataFrame, numbers: DataFrame, how: str, of: Column | None = None) -> DataFrame:
+    """The rows (left_semi), or the others (left_anti), whose number is among `numbers`, a table of one long column.
+
+    of: the number in `rows`; by default the column of that name. The set is
+    broadcast as bits, so wide rows are not shuffled; one of more than WORDS
+    words is joined as Spark likes.
+    """
+    (name,) = numbers.columns
+    bit = lambda x: F.call_function("shiftleft", F.lit(1).cast("long"), x.bitwiseAND(63).cast("int"))
+    own, key = F.col(name) if of is None else of, F.col(f"`{name}`")
+    words = numbers.groupBy(F.shiftright(key, 6).alias("_word")).agg(F.bit_or(bit(key)).alias("_bits"))
+    words = materialize(words, "words", release=True)
+    words = F.broadcast(words) if words.count() <= WORDS else words
+    return rows.join(words, (F.shiftright(own, 6) == F.col("_word")) & (F.col("_bits").bitwiseAND(bit(own)) != 0), how)
+
+
 #: Tables up to this size are dealt out when they come in fewer files than there are cores.
 SPREAD_BYTES = 1 << 30
 

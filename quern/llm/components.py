@@ -36,19 +36,20 @@ def _state(edges: DataFrame) -> tuple:
     return tuple(edges.agg(F.count("*"), F.bit_xor(F.xxhash64("hi", "lo"))).first())
 
 
-def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
+def connected_components(edges: DataFrame, max_rounds: int = 60, release: bool = False) -> DataFrame:
     """Rows (node, root) for the nodes of `edges` (columns a, b, comparable and not null); root is the least node reachable.
 
     Nodes without a link to another node are absent. Only two scalars a round
     reach the driver; each round's edges are a table in the shared folder.
+    release: the shuffle files go with each round, and those of `edges` with the first.
     """
-    now = materialize(_ordered(edges).distinct(), "edges")
+    now = materialize(_ordered(edges).distinct(), "edges", release)
     state = _state(now)
     for _ in range(max_rounds):
         if not state[0]:
             break
         # Repeated edges between the two steps do no harm.
-        now = materialize(_ordered(_small_star(_ordered(_large_star(now)))).distinct(), "edges")
+        now = materialize(_ordered(_small_star(_ordered(_large_star(now)))).distinct(), "edges", release)
         before, state = state, _state(now)
         if state == before:
             break

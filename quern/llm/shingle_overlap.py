@@ -19,6 +19,10 @@ which compares their whole sets and yields a spanning forest of the links. A
 component of more than UNIT texts or SHINGLES shingles is dealt out as pairs of
 hash blocks, each pair of texts in one of them; nothing is capped or sampled.
 
+Disk: each step is written and its shuffle files go before the next begins. The
+prefixes are shuffled in ROUNDS parts of the shingles, one after the other. Of
+the texts, only those in a component of candidates are shuffled.
+
 Edge cases: texts without words (null, empty, blank) are one class with each
 other; a text with fewer words than a shingle is one shingle; texts of equal
 64-bit hash are one class; an empty table gives an empty result.
@@ -27,24 +31,30 @@ other; a text with fewer words than a shingle is one shingle; texts of equal
 from __future__ import annotations
 
 from fractions import Fraction
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import join_totals, materialize, spread
+from .common import among, join_totals, materialize, spread
 from .components import connected_components, hook
 from .shingles import shingle_hashes, simhash
 
-#: Texts that the order of shingles is estimated on, about, and frequent shingles that are kept of them at most.
-SAMPLE, FREQUENT = 4000, 100_000
+#: Texts that the order of shingles is estimated on, about: so many, and one of so many of a larger table, or else
+#: shingles of ever larger groups would count as rare. Frequent shingles that are kept of them at most.
+SAMPLE, ONE_OF, FREQUENT = 4000, 50, 500_000
 #: Texts of a shingle up to which they are compared within one group.
 GROUP = 1024
 #: Fingerprint bits in which a candidate differs at most, and the size from which sets are tested so.
 FAR, FEW = 22, 32
 #: Texts and shingles of one block, about; a task compares two blocks at most.
 UNIT, SHINGLES = 4096, 1_000_000
+#: Parts of the shingles that are shuffled one after the other, and texts up to which there is one part.
+ROUNDS, ROUND_TEXTS = 4, 20_000
+#: Bits a text in the set that picks the texts to shuffle: one of 16 others is picked in vain.
+BITS = 16
 
 
 def shingle_set(text: str | None, shingle: int) -> np.ndarray:
@@ -64,9 +74,10 @@ def _frequent(rows: DataFrame, shingle: int) -> tuple[np.ndarray, np.ndarray]:
             found = [shingle_set(t, shingle) for t in b.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.zeros(0, np.uint64), *found]).view(np.int64))], names=["token"])
 
-    step = max(1, rows.count() // SAMPLE)
+    step = max(1, min(rows.count() // SAMPLE, ONE_OF))
     drawn = rows.where(F.pmod("node", F.lit(step)) == 0).select("text").mapInArrow(tokens, "token long")
-    most = drawn.groupBy("token").agg(F.count("*").alias("n")).where("n > 2").orderBy(F.desc("n"), "token").limit(FREQUENT).toPandas().sort_values("token")
+    most = drawn.groupBy("token").agg(F.count("*").alias("n")).where("n > 2").orderBy(F.desc("n"), "token").limit(FREQUENT)
+    most = materialize(most, "frequent", release=True).toPandas().sort_values("token")
     return most["token"].to_numpy(np.int64), most["n"].to_numpy(np.int64)
 
 
@@ -190,23 +201,30 @@ class Overlap:
         self.rows = spread(docs.select(F.col(f"`{id_col}`").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("node")))
         share, frequent = self.share, _frequent(self.rows, shingle)
         every = self.rows.select("node", "text").mapInArrow(lambda bs: _prints(bs, shingle, share, frequent), "node long, fp long, n int, prefix array<long>")
-        self.prints = materialize(every.dropDuplicates(["node"]), "prints")
+        self.prints = materialize(every.dropDuplicates(["node"]), "prints", release=True)
 
     def _candidates(self) -> DataFrame:
         """Edges (a, b) whose components hold both ends of each candidate."""
         share, group = self.share, self.group
         tokens = self.prints.select(F.explode("prefix").alias("token"), "node", "n", "fp")
-        return tokens.repartition("token").sortWithinPartitions("token", "node").mapInArrow(lambda bs: _forest(bs, share, group), "a long, b long")
+        rounds = ROUNDS if self.prints.count() > ROUND_TEXTS else 1
+        forests = []
+        for k in range(rounds):
+            part = tokens.where(F.pmod("token", F.lit(rounds)) == k).repartition("token").sortWithinPartitions("token", "node")
+            forests.append(materialize(part.mapInArrow(lambda bs: _forest(bs, share, group), "a long, b long").distinct(), "forest", release=True))
+        return reduce(DataFrame.unionAll, forests)
 
     def _linked(self, met: DataFrame) -> DataFrame:
         """Edges (a, b) that span the links inside the components `met` (node, root)."""
         shingle, share = self.shingle, self.share
-        members = materialize(met.join(self.prints.select("node", "fp", "n"), "node"), "members")
+        members = materialize(met.join(self.prints.select("node", "fp", "n"), "node"), "members", release=True)
         parts = F.ceil(F.greatest(F.count("*") / self.unit, F.sum("n") / SHINGLES)).cast("int")
         dealt = join_totals(members, members.groupBy("root").agg(parts.alias("parts")), "root").withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
         dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
         dealt = dealt.select("node", "fp", "root", "part", F.least("part", "other").alias("p"), F.greatest("part", "other").alias("q"))
-        texts = self.rows.select("node", "text").join(members.select("node"), "node", "left_semi").groupBy("node").agg(F.first("text").alias("text"))
+        size = F.lit(64 + BITS * members.count())
+        picked = among(self.rows.select("node", "text"), members.select(F.pmod("node", size).alias("place")), "left_semi", F.pmod("node", size))
+        texts = picked.groupBy("node").agg(F.first("text").alias("text"))
 
         def compare(unit: pa.Table) -> pa.Table:
             node, fp, part = (unit.column(c).to_numpy() for c in ("node", "fp", "part"))
@@ -218,8 +236,8 @@ class Overlap:
 
     def components(self, pairs: DataFrame) -> DataFrame:
         """Rows (doc_id, component_id), one per row of the table, by all links; `pairs` (a, b) are further candidates."""
-        met = connected_components(pairs.unionAll(self._candidates()))
-        roots = connected_components(self._linked(met))
+        met = connected_components(pairs.unionAll(self._candidates()), release=True)
+        roots = connected_components(self._linked(met), release=True)
         out = self.rows.select("doc_id", "node").join(roots, "node", "left").select("doc_id", F.coalesce("root", "node").alias("root"))
-        out = materialize(out, "roots")
+        out = materialize(out, "roots", release=True)
         return join_totals(out, out.groupBy("root").agg(F.min("doc_id").alias("component_id")), "root").select("doc_id", "component_id")

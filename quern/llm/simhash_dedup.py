@@ -203,7 +203,7 @@ def near_duplicates(
     """
     overlap = shingle_overlap.Overlap(docs, text_col, id_col, shingle, similarity, group, unit)
     classes = overlap.prints.groupBy("fp").agg(F.min("node").alias("first"))
-    met = links(classes, threshold, block)
+    met = materialize(links(classes, threshold, block), "met", release=True)
     side = lambda x: classes.select(F.col("fp").alias(x), F.col("first").alias(f"{x}_node"))
     between = met.join(side("a"), "a").join(side("b"), "b").select(F.col("a_node").alias("a"), F.col("b_node").alias("b"))
     within = join_totals(overlap.prints.select("fp", "node"), classes, "fp").where("node <> first").select(F.col("node").alias("a"), F.col("first").alias("b"))

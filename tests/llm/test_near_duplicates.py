@@ -1,7 +1,7 @@
 import random
 
 import corpus_pipeline as P
-from quern.llm import shingle_overlap, simhash_dedup
+from quern.llm import common, shingle_overlap, simhash_dedup
 
 
 def jaccard(a, b, k=5):
@@ -87,3 +87,57 @@ def test_rows_grow_with_the_texts_of_a_group_only(spark):
     assert overlap._linked(met).count() < n
     want = brute(rows)
     assert {r["doc_id"]: r["component_id"] for r in overlap.components(spark.createDataFrame([], "a long, b long")).collect()} == want
+
+
+def shuffle_files(spark):
+    files = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+    return {f.getName(): f.length() for f in (files.apply(i) for i in range(files.size())) if f.getName().startswith("shuffle_")}
+
+
+def test_stage_leaves_no_texts_in_shuffle_files(spark, tmp_path):
+    """Tables too large to broadcast: neither the check of candidates nor the removal of rows shuffles all texts, and what was shuffled goes."""
+    rows = near_copies(seed=7, n=100)
+    text = sum(len(t) for _, t in rows)
+    spark.createDataFrame([(d, t, "en", "s", len(t)) for d, t in rows], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/docs")
+    docs, limit = spark.read.parquet(f"{tmp_path}/docs"), spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    before = shuffle_files(spark)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        P.near_duplicates(spark, docs, "").write.parquet(f"{tmp_path}/out")
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+    left = {name: n for name, n in shuffle_files(spark).items() if name not in before}
+    assert sum(left.values()) < text / 4, sorted(left.items(), key=lambda x: -x[1])[:12]
+    assert spark.conf.get(common.CLEANUP) == "false"
+    assert {r["doc_id"] for r in spark.read.parquet(f"{tmp_path}/out").collect()} == set(brute(rows).values())
+
+
+def test_rows_among_numbers(spark, monkeypatch):
+    """Also negative numbers and repeats, and sets too large to broadcast."""
+    numbers = [-(1 << 63), -65, -64, -1, 0, 63, 64, (5 << 33) + 2, (1 << 63) - 1]
+    rows = spark.createDataFrame([(n, str(n)) for n in {*numbers, *(n + 1 for n in numbers[:-1]), *(n - 1 for n in numbers[1:])}], "k long, v string")
+    wanted = spark.createDataFrame([(n,) for n in numbers * 2], "k long")
+    for words in (common.WORDS, 0):
+        monkeypatch.setattr(common, "WORDS", words)
+        assert sorted(r["k"] for r in common.among(rows, wanted, "left_semi").collect()) == numbers
+        assert {r["k"] for r in common.among(rows, wanted, "left_anti").collect()} == {r["k"] for r in rows.collect()} - set(numbers)
+        assert common.among(rows, wanted.limit(0), "left_anti").count() == rows.count()
+
+
+def test_rounds_of_shingles_equal_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(shingle_overlap, "ROUND_TEXTS", 0)
+    rows = near_copies(seed=9, n=12)
+    got = simhash_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r["doc_id"]: r["component_id"] for r in got} == brute(rows)
+
+
+def test_common_passages_of_a_large_table_join_no_texts(spark, monkeypatch):
+    """A passage in one text of 20 stays out of the prefixes also where a sample of fixed size misses it; else all its texts are one component."""
+    monkeypatch.setattr(shingle_overlap, "SAMPLE", 10)
+    monkeypatch.setattr(shingle_overlap, "ONE_OF", 2, raising=False)
+    r = random.Random(11)
+    word = lambda: "".join(r.choice("abcdefghij") for _ in range(7))
+    passage = [word() for _ in range(16)]
+    rows = [(i, " ".join([word() for _ in range(60)] + passage * (i % 20 == 0))) for i in range(1000)]
+    overlap = shingle_overlap.Overlap(spark.createDataFrame(rows, "doc_id long, text string"), "text", "doc_id", 5, 0.8, group=16)
+    assert overlap._candidates().count() == 0
